@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, line_dedup, packing
+from . import exact_dedup, language_id, line_dedup, ngram_join, packing
 
 QUERIES = {
+    "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op5_language_id": language_id.op5_language_id,
     "op7_line_dedup": line_dedup.op7_line_dedup,
