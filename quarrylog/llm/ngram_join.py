@@ -5,19 +5,23 @@ Documents are sets of distinct word shingles (see ``shingles``); two link when
 
 * Documents with one and the same set are one representative, found by a
   128-bit digest in a partial aggregation, so a group of copies is one node.
-* Prefix filter: under any one order of all shingles, two sets that link share
-  a shingle among the first n - ceil(percent * n / 100) + 1 of each. Frequent
-  shingles come last in the order; how frequent is told by a fixed table of
-  65,536 counters over all shingles of all documents.
-* A tile is the documents with a common prefix shingle. Tiles of frequent
-  shingles are split by a salt that grows with the counter. Each document is
-  compared with the first of its split, and these with the first of the tile;
-  what links becomes components.
-* Tiles that still hold two components are joined whole, within a size band and
-  its neighbour. Only pairs of different components count whose sizes allow a
-  link and whose parity bitmaps do: of two sets, the bits in which the bitmaps
-  differ are at most the shingles in which the sets differ, which bounds the
-  overlap from above. Links inside a component can't change a component.
+* Size bands: sets of 32 * 4^c to 128 * 4^c shingles are cut by shingle hash
+  into 4^c parts, in which both sets of a pair that could reach the next band
+  are cut that band's way too. If two sets reach the threshold, so do their
+  shares of some part, as the parts' intersections and unions add up.
+* Prefix filter: under any one order of all shingles, two shares of a part that
+  reach the threshold have a shingle in common among the first
+  m - ceil(percent * m / 100) + 1 of each. Frequent shingles come last; how
+  frequent is told by a fixed table of 65,536 counters over all documents.
+* A tile is the documents of a band with a common prefix shingle. Tiles of
+  frequent shingles are split by a salt that grows with the counter. Each
+  document is compared with the first of its split, and these with the first of
+  the tile; what links becomes components.
+* Tiles that still hold two components are joined whole. Only pairs of
+  different components count whose sizes allow a link and whose parts' parity
+  bitmaps do: of two sets, the bits in which the bitmaps differ are at most the
+  shingles in which the sets differ, which bounds the overlap from above. Links
+  inside a component can't change a component.
 * Candidates meet wider bitmaps (as many bits as the size needs) and then the
   exact intersection of the sorted shingle arrays of the whole texts.
 
@@ -40,12 +44,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import components, materialize, table
-from .shingles import WordHashes, shingle_set, word_hashes
+from .shingles import WordHashes, mix, shingle_hashes, shingle_set, word_hashes
 
 PERCENT, WIDTH = 75, 5
 _COUNTERS_LOG2 = 16
 _LEAST_BITS, _MOST_BITS = 256, 1 << 16
-_SET_SCHEMA = "doc_id long, n int, digest binary, sig binary, s0 long, s1 long, s2 long, s3 long, tokens array<long>, salts array<int>"
+_SET_SCHEMA = "doc_id long, n int, digest binary, sig binary, bits array<long>, sizes array<int>, tokens array<long>, salts array<int>, slots array<int>"
+#: The smallest size of band 1, the ratio of one band's sizes to the next one's, and the bits of a part's bitmap.
+_BAND_FROM, _BAND_RATIO, _PART_BITS = 128, 4, 128
 
 
 def _bucket(shingles: np.ndarray) -> np.ndarray:
@@ -77,7 +83,7 @@ def _count(width: int):
         cache, total = WordHashes(), np.zeros(1 << _COUNTERS_LOG2, dtype=np.int64)
         for batch in batches:
             for text in batch["text"]:
-                total += np.bincount(_bucket(shingle_set(word_hashes(text, cache), width)), minlength=len(total))
+                total += np.bincount(_bucket(shingle_hashes(word_hashes(text, cache), width)), minlength=len(total))
         hit = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": hit, "n": total[hit]})
 
@@ -95,7 +101,29 @@ def frequency_levels(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarr
     return level, np.where(level > 0, np.minimum(np.ceil(4 * ratio), 1 << 20), 1).astype(np.int64)
 
 
+def bands(n: int, percent: int) -> list[int]:
+    """The band of a set of n shingles, and the next one if a partner may be in it."""
+    band, start = 0, _BAND_FROM
+    while n >= start:
+        band, start = band + 1, start * _BAND_RATIO
+    return [band, band + 1] if n * 100 >= start * percent else [band]
+
+
+def _parts(x: np.ndarray, level: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one band: which shingles are prefixes, the part of each, and the parts' sizes and bitmaps."""
+    k = _BAND_RATIO**band
+    part = ((x >> np.uint64(24)) & np.uint64(k - 1)).astype(np.int64)
+    sizes = np.bincount(part, minlength=k)
+    order = np.lexsort((level, part))
+    place = np.arange(len(x)) - (np.cumsum(sizes) - sizes)[part[order]]
+    prefix = order[place < (sizes + (-percent * sizes // 100) + 1)[part[order]]]
+    ones = np.bincount(part * _PART_BITS + (x & np.uint64(_PART_BITS - 1)).astype(np.int64), minlength=k * _PART_BITS) & 1
+    return prefix, part[prefix], sizes, np.packbits(ones.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _sets(shipped, width: int, percent: int):
+    names = [c.split()[0] for c in _SET_SCHEMA.split(", ")]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache, (level, splits) = WordHashes(), shipped.value
         for batch in batches:
@@ -104,15 +132,22 @@ def _sets(shipped, width: int, percent: int):
                 x = shingle_set(word_hashes(text, cache), width)
                 n = len(x)
                 if not n:
-                    rows.append((doc_id, 0, None, None, 0, 0, 0, 0, [], []))
+                    rows.append((doc_id, 0, None, None, [], [], [], [], []))
                     continue
-                digest, sig, bucket = xxhash.xxh3_128_digest(x.tobytes()), parity_bitmap(x), _bucket(x)
-                first = np.argsort(level[bucket], kind="stable")[: n - -(-percent * n // 100) + 1]
-                split = splits[bucket[first]]
-                salt = np.where(split > 1, int.from_bytes(digest[:7], "little") % split, -1)
-                quarter = fold(sig, _LEAST_BITS // 8).view(np.int64)
-                rows.append((doc_id, n, digest, sig.tobytes(), *quarter.tolist(), x[first].view(np.int64), salt.astype(np.int32)))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _SET_SCHEMA.split(", ")]).astype({"doc_id": "Int64"})
+                digest, bucket = xxhash.xxh3_128_digest(x.tobytes()), _bucket(x)
+                of_digest, rank = int.from_bytes(digest[:7], "little"), level[bucket]
+                tokens, salts, slots, sizes, bits, base = [], [], [], [], [], 0
+                for band in bands(n, percent):
+                    prefix, part, m, b = _parts(x, rank, band, percent)
+                    split = splits[bucket[prefix]]
+                    tokens.append(mix(x[prefix] ^ np.uint64(band * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)).view(np.int64))
+                    salts.append(np.where(split > 1, of_digest % split, -1).astype(np.int32))
+                    slots.append((part + base).astype(np.int32))
+                    sizes.append(m.astype(np.int32))
+                    bits.append(b)
+                    base += len(m)
+                rows.append((doc_id, n, digest, parity_bitmap(x).tobytes(), *map(np.concatenate, (bits, sizes, tokens, salts, slots))))
+            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
     return run
 
@@ -179,12 +214,12 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     verify = _Verifier(texts.where("doc_id IS NOT NULL"), sets, width, percent)
 
     reps = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    heads = sets.select("doc_id", "n", "digest", "tokens", "salts").join(reps.select("digest", F.col("rep").alias("doc_id")), ["doc_id", "digest"])
-    entries = heads.select("doc_id", "n", F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("salts").alias("salt"))))
+    heads = sets.select("doc_id", "n", "digest", "tokens", "salts", "slots").join(reps.select("digest", F.col("rep").alias("doc_id")), ["doc_id", "digest"])
+    entries = heads.select("doc_id", "n", F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("salts").alias("salt"), F.col("slots").alias("slot"))))
     split = Window.partitionBy("token", "salt")
     tiles = materialize(
         entries.select(
-            "token", "salt", "doc_id", "n", F.min(F.struct("doc_id", "n")).over(split).alias("first"), F.count("*").over(split).alias("size")
+            "token", "salt", "doc_id", "n", "slot", F.min(F.struct("doc_id", "n")).over(split).alias("first"), F.count("*").over(split).alias("size")
         ).where("size > 1 OR salt >= 0").drop("size"),
         "tiles",
     )
@@ -198,24 +233,26 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     linked = components(links)
 
     # Tiles with more than one component left.
-    named = tiles.select("token", "doc_id").join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    named = named.select("token", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    named = tiles.select("token", "doc_id", "n", "slot").join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    named = named.select("token", "doc_id", "n", "slot", F.coalesce("component", "doc_id").alias("component"))
     mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    bits = sets.where("n > 0").select("doc_id", "n", "s0", "s1", "s2", "s3").dropDuplicates(["doc_id", "n", "s0"])
+    parts = sets.where("n > 0").select("doc_id", "n", "digest", "sizes", "bits").dropDuplicates(["doc_id", "digest"])
+    slot = F.col("slot")
     open_tiles = materialize(
-        named.join(mixed, "token").join(bits, "doc_id").withColumn("band", F.floor(F.log(F.col("n")) / np.log(100 / percent)).cast("int")), "mixed"
-    )
-    x = open_tiles.select(*[F.col(c).alias(f"x_{c}") for c in open_tiles.columns], F.explode(F.array("band", F.col("band") + 1)).alias("x_at"))
-    y = open_tiles.select(*[F.col(c).alias(f"y_{c}") for c in open_tiles.columns])
-    differ = sum((F.bit_count(F.col(f"x_s{k}").bitwiseXOR(F.col(f"y_s{k}"))) for k in range(4)), F.lit(0))
-    both = F.col("x_n") + F.col("y_n")
+        named.join(mixed, "token").join(parts, ["doc_id", "n"]).select(
+            "token", "doc_id", "component", "n", F.get("sizes", slot).alias("m"), F.get("bits", 2 * slot).alias("b0"), F.get("bits", 2 * slot + 1).alias("b1")
+        ),
+        "mixed",
+    )
+    x, y = (open_tiles.select(*[F.col(c).alias(f"{side}_{c}") for c in open_tiles.columns]) for side in "xy")
+    differ = sum((F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(f"y_{b}"))) for b in ("b0", "b1")), F.lit(0))
+    both = F.col("x_m") + F.col("y_m")
     candidates = x.join(
         y,
         (F.col("x_token") == F.col("y_token"))
-        & (F.col("x_at") == F.col("y_band"))
-        & (F.col("x_component") != F.col("y_component"))
-        & ((F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_doc_id") < F.col("y_doc_id"))))
-        & (F.col("x_n") * 100 >= F.col("y_n") * percent)
+        & (F.col("x_component") < F.col("y_component"))
+        & _sizes_fit("x_n", "y_n", percent)
+        & _sizes_fit("x_m", "y_m", percent)
         & ((both - differ) * (100 + percent) >= both * (2 * percent)),
     ).select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b"))
     more = verify(candidates.distinct())

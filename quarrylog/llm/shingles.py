@@ -38,13 +38,16 @@ def _factors(width: int) -> np.ndarray:
     return mix(seeds) | np.uint64(1)
 
 
+_FACTORS = [_factors(n) for n in range(9)]
+
+
 def word_hashes(text: bytes | None, cache: dict) -> np.ndarray:
     words = text.lower().split() if text else []
     return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
-    """Sorted distinct shingle hashes of a sequence of word hashes."""
+def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """The hash of every shingle of a sequence of word hashes, in order."""
     n = len(words)
     if n == 0:
         return np.empty(0, dtype=np.uint64)
@@ -52,6 +55,11 @@ def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         # The span is part of the hash: a short text never equals a window.
         h = np.full(n - span + 1, span * 0xD6E8FEB86659FD93 & _MASK, dtype=np.uint64)
-        for k, factor in enumerate(_factors(span)):
+        for k, factor in enumerate(_FACTORS[span] if span < len(_FACTORS) else _factors(span)):
             h += words[k : k + len(h)] * factor
-    return np.unique(mix(h))
+    return mix(h)
+
+
+def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
+    """Sorted distinct shingle hashes of a sequence of word hashes."""
+    return np.unique(shingle_hashes(words, width))
