@@ -18,8 +18,8 @@ Documents are sets of distinct word shingles (see ``shingles``); two link when
   document is compared with the first of its split, and these with the first of
   the tile; what links becomes components.
 * Tiles that still hold two components are joined whole. Only pairs of
-  different components count whose sizes allow a link and whose parts' parity
-  bitmaps do: of two sets, the bits in which the bitmaps differ are at most the
+  different components count whose sizes allow a link and whose parity bitmaps
+  do, those of the part and those of the whole sets: of two sets, the bits in which the bitmaps differ are at most the
   shingles in which the sets differ, which bounds the overlap from above. Links
   inside a component can't change a component.
 * Candidates meet wider bitmaps (as many bits as the size needs) and then the
@@ -48,8 +48,8 @@ from .shingles import WordHashes, mix, shingle_hashes, shingle_set, word_hashes
 
 PERCENT, WIDTH = 75, 5
 _COUNTERS_LOG2 = 16
-_LEAST_BITS, _MOST_BITS = 256, 1 << 16
-_SET_SCHEMA = "doc_id long, n int, digest binary, sig binary, bits array<long>, sizes array<int>, tokens array<long>, salts array<int>, slots array<int>"
+_LEAST_BITS, _MOST_BITS = 512, 1 << 16
+_SET_SCHEMA = "doc_id long, n int, digest binary, sig binary, whole array<long>, bits array<long>, sizes array<int>, tokens array<long>, salts array<int>, slots array<int>"
 #: The smallest size of band 1, the ratio of one band's sizes to the next one's, and the bits of a part's bitmap.
 _BAND_FROM, _BAND_RATIO, _PART_BITS = 128, 4, 128
 
@@ -132,7 +132,7 @@ def _sets(shipped, width: int, percent: int):
                 x = shingle_set(word_hashes(text, cache), width)
                 n = len(x)
                 if not n:
-                    rows.append((doc_id, 0, None, None, [], [], [], [], []))
+                    rows.append((doc_id, 0, None, None, [], [], [], [], [], []))
                     continue
                 digest, bucket = xxhash.xxh3_128_digest(x.tobytes()), _bucket(x)
                 of_digest, rank = int.from_bytes(digest[:7], "little"), level[bucket]
@@ -146,7 +146,9 @@ def _sets(shipped, width: int, percent: int):
                     sizes.append(m.astype(np.int32))
                     bits.append(b)
                     base += len(m)
-                rows.append((doc_id, n, digest, parity_bitmap(x).tobytes(), *map(np.concatenate, (bits, sizes, tokens, salts, slots))))
+                sig = parity_bitmap(x)
+                whole = fold(sig, _LEAST_BITS // 8).view(np.int64)
+                rows.append((doc_id, n, digest, sig.tobytes(), whole, *map(np.concatenate, (bits, sizes, tokens, salts, slots))))
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
     return run
@@ -236,24 +238,31 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     named = tiles.select("token", "doc_id", "n", "slot").join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     named = named.select("token", "doc_id", "n", "slot", F.coalesce("component", "doc_id").alias("component"))
     mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    parts = sets.where("n > 0").select("doc_id", "n", "digest", "sizes", "bits").dropDuplicates(["doc_id", "digest"])
+    parts = sets.where("n > 0").select("doc_id", "n", "digest", "whole", "sizes", "bits").dropDuplicates(["doc_id", "digest"])
     slot = F.col("slot")
     open_tiles = materialize(
         named.join(mixed, "token").join(parts, ["doc_id", "n"]).select(
-            "token", "doc_id", "component", "n", F.get("sizes", slot).alias("m"), F.get("bits", 2 * slot).alias("b0"), F.get("bits", 2 * slot + 1).alias("b1")
+            "token", "doc_id", "component", "n", F.get("sizes", slot).alias("m"), F.get("bits", 2 * slot).alias("b0"), F.get("bits", 2 * slot + 1).alias("b1"),
+            *[F.get("whole", F.lit(k)).alias(f"w{k}") for k in range(_LEAST_BITS // 64)],
         ),
         "mixed",
     )
     x, y = (open_tiles.select(*[F.col(c).alias(f"{side}_{c}") for c in open_tiles.columns]) for side in "xy")
-    differ = sum((F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(f"y_{b}"))) for b in ("b0", "b1")), F.lit(0))
-    both = F.col("x_m") + F.col("y_m")
+
+    def room(size: str, words: list[str]):
+        """Whether the overlap that the bitmaps leave possible reaches the threshold."""
+        both = F.col(f"x_{size}") + F.col(f"y_{size}")
+        differ = sum((F.bit_count(F.col(f"x_{w}").bitwiseXOR(F.col(f"y_{w}"))) for w in words), F.lit(0))
+        return (both - differ) * (100 + percent) >= both * (2 * percent)
+
     candidates = x.join(
         y,
         (F.col("x_token") == F.col("y_token"))
         & (F.col("x_component") < F.col("y_component"))
         & _sizes_fit("x_n", "y_n", percent)
         & _sizes_fit("x_m", "y_m", percent)
-        & ((both - differ) * (100 + percent) >= both * (2 * percent)),
+        & room("m", ["b0", "b1"])
+        & room("n", [f"w{k}" for k in range(_LEAST_BITS // 64)]),
     ).select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b"))
     more = verify(candidates.distinct())
     final = components(links.union(more))
