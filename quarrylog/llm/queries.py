@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, line_dedup, ngram_join, packing
+from . import embedding_dedup, exact_dedup, html_extract, language_id, line_dedup, ngram_join, packing
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op5_language_id": language_id.op5_language_id,
+    "op6_embedding_near_dedup": embedding_dedup.op6_embedding_near_dedup,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_pack_sequences": packing.op8_pack_sequences,
+    "op10_html_extraction": html_extract.op10_html_extraction,
 }
 
 ORACLES = {
