@@ -66,7 +66,11 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
 
 def probabilities(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, rounds: int = ROUNDS) -> DataFrame:
     """(source, lang, topic, probability) of every cell with tokens."""
-    keyed = docs.select(*[c.alias(k) for k, c in facts(docs).items()])
+    return fitted_cells(docs.select(*[c.alias(k) for k, c in facts(docs).items()]), targets, temper, rounds)
+
+
+def fitted_cells(keyed: DataFrame, targets: dict[str, DataFrame] | None, temper: float, rounds: int) -> DataFrame:
+    """``probabilities`` of rows that have their margins and n_tokens."""
     cells = materialize(keyed.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"), "cells")
     goals = {m: (targets or {}).get(m) or materialize(tempered(cells, m, temper), "target") for m in MARGINS}
     ratio = rake(cells, goals, rounds).select(*MARGINS, (F.col("weight") / F.col("tokens")).alias("ratio"))
@@ -80,8 +84,8 @@ def draw(doc_id: str = "doc_id") -> Column:
 
 def decide(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, margins, n_tokens, probability and kept of every document."""
-    keyed = docs.select("doc_id", *[c.alias(k) for k, c in facts(docs).items()])
-    rated = keyed.join(probabilities(docs, targets, temper, rounds), list(MARGINS), "left")
+    keyed = materialize(docs.select("doc_id", *[c.alias(k) for k, c in facts(docs).items()]), "facts")
+    rated = keyed.join(fitted_cells(keyed, targets, temper, rounds), list(MARGINS), "left")
     p = F.coalesce("probability", F.lit(1.0))
     return rated.select("doc_id", *MARGINS, "n_tokens", F.round(p, 9).alias("probability"), (draw() < F.round(p, 9)).alias("kept"))
 
