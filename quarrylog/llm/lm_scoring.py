@@ -151,10 +151,25 @@ def _pack(w: dict) -> list[bytes]:
     return [w[k].astype("<f4").tobytes() for k in sorted(w)]
 
 
+def _encode(shipped, s: Settings):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocab = Vocabulary(shipped.value, s)
+        for batch in batches:
+            ids = [vocab.ids(text).astype("<u2").tobytes() for text in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids}).astype({"doc_id": "Int64"})
+
+    return run
+
+
+def encode(docs: DataFrame, words: list[bytes], s: Settings) -> DataFrame:
+    """(doc_id, ids): every whole text as entries of the vocabulary."""
+    shipped = docs.sparkSession.sparkContext.broadcast(words)  # fewer words than the vocabulary has entries
+    return docs.mapInPandas(_encode(shipped, s), "doc_id long, ids binary")
+
+
 def _learn(shipped, s: Settings):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, weights = shipped.value
-        vocab, w = Vocabulary(words, s), {k: v.copy() for k, v in weights.items()}
+        w = {k: v.copy() for k, v in shipped.value.items()}
         held: list[tuple[np.ndarray, np.ndarray]] = []
         count = learned = 0
 
@@ -166,9 +181,9 @@ def _learn(shipped, s: Settings):
             count = 0
 
         for batch in batches:
-            for text in batch["text"]:
-                ids = vocab.ids(text)
-                at = np.arange(xxhash.xxh3_64_intdigest(text or b"") % s.stride, len(ids), s.stride)
+            for raw in batch["ids"]:
+                ids = np.frombuffer(raw, dtype="<u2").astype(np.int32)
+                at = np.arange(xxhash.xxh3_64_intdigest(raw) % s.stride, len(ids), s.stride)
                 for part in range(0, len(at), s.batch):
                     some = at[part : part + s.batch]
                     held.append((_context(ids, some, s), ids[some]))
@@ -183,18 +198,18 @@ def _learn(shipped, s: Settings):
     return run
 
 
-def fit(texts: DataFrame, s: Settings = Settings()) -> tuple[list[bytes], dict[str, np.ndarray]]:
-    spark = texts.sparkSession
-    words, weights = vocabulary(texts, s), initial(s)
+def fit(encoded: DataFrame, s: Settings = Settings()) -> dict[str, np.ndarray]:
+    """The network's weights, learned from every document of ``encoded`` (ids)."""
+    spark, weights = encoded.sparkSession, initial(s)
     for _ in range(s.rounds):
-        shipped = spark.sparkContext.broadcast((words, weights))  # its size depends on the settings only
-        local = materialize(texts.mapInPandas(_learn(shipped, s), "name string, value binary, tokens long"), "weights")
+        shipped = spark.sparkContext.broadcast(weights)  # its size depends on the settings only
+        local = materialize(encoded.select("ids").mapInPandas(_learn(shipped, s), "name string, value binary, tokens long"), "weights")
         # Two levels, so that no task averages the weights of all partitions.
         spread = local.withColumn("part", F.pmod(F.xxhash64("value"), F.lit(64)))
         first = spread.groupBy("name", "part").applyInPandas(_average_some, "name string, value binary, tokens long")
         for r in first.groupBy("name").applyInPandas(_average_some, "name string, value binary, tokens long").collect():  # one row per tensor
             weights[r["name"]] = np.frombuffer(r["value"], dtype="<f4").reshape(weights[r["name"]].shape).copy()
-    return words, weights
+    return weights
 
 
 def _average_some(rows: pd.DataFrame) -> pd.DataFrame:
@@ -205,25 +220,23 @@ def _average_some(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _score(shipped, s: Settings):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, weights = shipped.value
-        vocab = Vocabulary(words, s)
         for batch in batches:
             counts, scores = [], []
-            for text in batch["text"]:
-                ids = vocab.ids(text)
+            for raw in batch["ids"]:
+                ids = np.frombuffer(raw, dtype="<u2").astype(np.int32)
                 counts.append(len(ids))
-                scores.append(log_likelihood(weights, ids, s) if len(ids) else 0.0)
+                scores.append(log_likelihood(shipped.value, ids, s) if len(ids) else 0.0)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": counts, "score": scores}).astype({"doc_id": "Int64"})
 
     return run
 
 
-def score(docs: DataFrame, s: Settings = Settings(), model: tuple | None = None) -> DataFrame:
+def score(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """``docs``: doc_id, text. One row each: doc_id, n_tokens, score, mean_score."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    model = model or fit(source.select("text"), s)
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
-    scored = source.mapInPandas(_score(shipped, s), "doc_id long, n_tokens long, score double")
+    encoded = materialize(encode(source, vocabulary(source.select("text"), s), s), "ids")
+    shipped = docs.sparkSession.sparkContext.broadcast(fit(encoded, s))
+    scored = encoded.mapInPandas(_score(shipped, s), "doc_id long, n_tokens long, score double")
     return scored.withColumn("mean_score", F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")))
 
 
