@@ -11,8 +11,8 @@ bands; the number of bands is tuned so that a pair at the threshold collides
 with probability ``recall``. Paragraphs of one digest are one node. Each node
 of a band bucket is compared with the bucket's least, by the exact Jaccard
 similarity of the shingles; buckets that still hold two components are joined
-whole, pairs of different components only. A component is a class of
-paragraphs; it counts if it stands in more than one document; what only repeats
+whole, pairs of different components only. Buckets that
+only one document fills are left out. A component is a class of paragraphs; it counts if it stands in more than one document; what only repeats
 within one document is left alone. The class's paragraphs in its smallest doc_id stay, the others
 are removals; overlapping paragraphs of a document are merged into spans.
 
@@ -31,6 +31,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import components, materialize, table
 from .shingles import WordHashes, mix, shingle_hashes, word_hashes
@@ -154,10 +155,13 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, spacing: int = SPAC
     signer = _Signer(rows, tuned_bands(percent, rows, recall))
     found = materialize(texts.mapInPandas(_paragraphs(length, spacing, width, signer), "doc_id long, start long, digest long, bands array<long>"), "paragraphs")
 
-    # Band buckets with more than one digest. Copies of a paragraph bring their keys once per batch, so no key is hot through copies.
-    entries = found.where("bands IS NOT NULL").select(F.explode("bands").alias("key"), "digest")
-    mixed = entries.groupBy("key").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi")
-    buckets = materialize(entries.join(mixed.select("key", "lo"), "key").distinct(), "buckets")
+    # Band buckets with several digests from several documents. Copies of a paragraph bring their keys
+    # once per batch, so no key is hot through copies; overlapping paragraphs of one document don't count.
+    entries = found.where("bands IS NOT NULL").select(F.explode("bands").alias("key"), "digest", "doc_id")
+    bucket = Window.partitionBy("key")
+    low, high = F.min("digest").over(bucket).alias("lo"), F.max("digest").over(bucket).alias("hi")
+    seen = entries.select("key", "digest", low, high, F.min("doc_id").over(bucket).alias("d_lo"), F.max("doc_id").over(bucket).alias("d_hi"))
+    buckets = materialize(seen.where("lo < hi AND d_lo < d_hi").select("key", "digest", "lo").distinct(), "buckets")
     stars = buckets.where("digest <> lo").select(F.col("lo").alias("a"), F.col("digest").alias("b"))
     where = found.select("doc_id", "start", "digest")
     links = _links(stars, where, texts, length, width, percent)
