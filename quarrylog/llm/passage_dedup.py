@@ -114,8 +114,12 @@ def _contents(length: int, width: int):
             rows = []
             for text, wanted in zip(batch["text"], batch["wanted"], strict=True):
                 s = shingle_hashes(word_hashes(text, cache), width)
-                rows.extend((w["digest"], np.unique(s[w["start"] + reach]).tobytes()) for w in wanted if w["start"] + reach[-1] < len(s))
-            yield pd.DataFrame(rows, columns=["digest", "x"])
+                for w in wanted:
+                    if w["start"] + reach[-1] < len(s):
+                        x = np.unique(s[w["start"] + reach])
+                        ones = np.bincount((x & np.uint64(127)).astype(np.int64), minlength=128) & 1
+                        rows.append((w["digest"], x.tobytes(), len(x), *np.packbits(ones.astype(np.uint8), bitorder="little").view(np.int64).tolist()))
+            yield pd.DataFrame(rows, columns=["digest", "x", "n", "b0", "b1"])
 
     return run
 
@@ -133,15 +137,18 @@ def _verified(percent: int):
     return run
 
 
-def _links(pairs: DataFrame, found: DataFrame, texts: DataFrame, length: int, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of digests whose paragraphs are similar enough."""
-    pairs = materialize(pairs.distinct(), "pairs")
-    digests = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
+def contents(digests: DataFrame, found: DataFrame, texts: DataFrame, length: int, width: int) -> DataFrame:
+    """Of each digest its sorted shingles, their number and a parity bitmap, from one place where it stands."""
     where = found.join(digests, "digest").groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("at"))
     wanted = where.select(F.col("at.doc_id").alias("doc_id"), F.struct(F.col("at.start").alias("start"), "digest").alias("w")).groupBy("doc_id").agg(F.collect_list("w").alias("wanted"))
-    contents = materialize(texts.join(wanted, "doc_id").select("text", "wanted").mapInPandas(_contents(length, width), "digest long, x binary"), "contents")
-    on = lambda k: contents.select(F.col("digest").alias(k), F.col("x").alias(f"x{k}"))
-    return materialize(pairs.join(on("a"), "a").join(on("b"), "b").mapInPandas(_verified(percent), "a long, b long").distinct(), "links")
+    schema = "digest long, x binary, n int, b0 long, b1 long"
+    return materialize(texts.join(wanted, "doc_id").select("text", "wanted").mapInPandas(_contents(length, width), schema).dropDuplicates(["digest"]), "contents")
+
+
+def _links(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of digests whose paragraphs are similar enough."""
+    on = lambda k: known.select(F.col("digest").alias(k), F.col("x").alias(f"x{k}"))
+    return materialize(pairs.distinct().join(on("a"), "a").join(on("b"), "b").mapInPandas(_verified(percent), "a long, b long"), "links")
 
 
 def repeated_passages(docs: DataFrame, length: int = LENGTH, spacing: int = SPACING, width: int = WIDTH, percent: int = PERCENT, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
@@ -164,19 +171,25 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, spacing: int = SPAC
     buckets = materialize(seen.where("lo < hi AND d_lo < d_hi").select("key", "digest", "lo").distinct(), "buckets")
     stars = buckets.where("digest <> lo").select(F.col("lo").alias("a"), F.col("digest").alias("b"))
     where = found.select("doc_id", "start", "digest")
-    links = _links(stars, where, texts, length, width, percent)
+    known = contents(buckets.select("digest").distinct(), where, texts, length, width)
+    links = _links(stars, known, percent)
     named = buckets.join(components(links).withColumnRenamed("node", "digest"), "digest", "left").select("key", "digest", F.coalesce("component", "digest").alias("component"))
     left = named.groupBy("key").agg(F.min("component").alias("c_lo"), F.max("component").alias("c_hi")).where("c_lo < c_hi").select("key")
     # The least digest of a bucket has been compared with all others of it.
     least = buckets.groupBy("key").agg(F.min("lo").alias("lo"))
-    rest = materialize(named.join(left, "key").join(least, "key").where("digest <> lo").select("key", "digest", "component"), "rest")
-    x, y = (rest.select("key", F.col("digest").alias(f"{s}_digest"), F.col("component").alias(f"{s}_component")) for s in "xy")
-    more = x.join(y, (x["key"] == y["key"]) & (F.col("x_component") < F.col("y_component"))).select(F.least("x_digest", "y_digest").alias("a"), F.greatest("x_digest", "y_digest").alias("b"))
-    links = links.union(_links(more, where, texts, length, width, percent))
+    rest = named.join(left, "key").join(least, "key").where("digest <> lo").select("key", "digest", "component")
+    rest = materialize(rest.join(known.select("digest", "n", "b0", "b1"), "digest"), "rest")
+    x, y = (rest.select(*[F.col(c).alias(f"{s}_{c}") for c in rest.columns]) for s in "xy")
+    # Bits in which two parity bitmaps differ are at most the shingles in which the paragraphs do: a bound on the overlap.
+    both = F.col("x_n") + F.col("y_n")
+    differ = F.bit_count(F.col("x_b0").bitwiseXOR(F.col("y_b0"))) + F.bit_count(F.col("x_b1").bitwiseXOR(F.col("y_b1")))
+    room = (both - differ) * (100 + percent) >= both * (2 * percent)
+    more = x.join(y, (F.col("x_key") == F.col("y_key")) & (F.col("x_component") < F.col("y_component")) & room)
+    links = links.union(_links(more.select(F.least("x_digest", "y_digest").alias("a"), F.greatest("x_digest", "y_digest").alias("b")), known, percent))
 
     classed = where.join(components(links).withColumnRenamed("node", "digest"), "digest", "left").select("doc_id", "start", F.coalesce("component", "digest").alias("class"))
     in_docs = classed.select("class", "doc_id").distinct()
-    classes = in_docs.groupBy("class").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_documents")).where("n_documents > 1")
+    classes = materialize(in_docs.groupBy("class").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_documents")).where("n_documents > 1"), "classes")
     hits = classed.join(classes, "class").select("doc_id", "start", "first", "n_documents")
     # Of a document: paragraphs in order; a span ends where the next one starts beyond its end.
     spans = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "first", "n_documents"))).alias("hits"))
