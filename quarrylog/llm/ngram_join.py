@@ -215,7 +215,7 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     sets = materialize(texts.mapInPandas(_sets(levels, width, percent), _SET_SCHEMA), "sets")
     verify = _Verifier(texts.where("doc_id IS NOT NULL"), sets, width, percent)
 
-    reps = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    reps = materialize(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")), "reps")
     heads = sets.select("doc_id", "n", "digest", "tokens", "salts", "slots").join(reps.select("digest", F.col("rep").alias("doc_id")), ["doc_id", "digest"])
     entries = heads.select("doc_id", "n", F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("salts").alias("salt"), F.col("slots").alias("slot"))))
     split = Window.partitionBy("token", "salt")
@@ -267,16 +267,14 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     more = verify(candidates.distinct())
     final = components(links.union(more))
 
-    return (
-        sets.select("doc_id", "n", "digest")
-        .join(reps, "digest", "left")
-        .join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        .select(
-            "doc_id",
-            F.col("n").cast("long").alias("n_shingles"),
-            F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"),
-        )
+    classes = materialize(
+        reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")), "classes"
     )
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return (
+        sets.select("doc_id", "n", "digest").join(classes, "digest", "left")
+        .select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
+    )
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
