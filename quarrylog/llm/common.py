@@ -6,7 +6,9 @@ import atexit
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,13 +33,26 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarrylog/{label}-{uuid.uuid4().hex}"
+    _drop_shuffles(spark)  # of the step before, whose events may have held them when it ended
     df.write.parquet(path)
     _KEPT.append((spark, path))
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop shuffles nobody refers to
+    _drop_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the files of shuffles that nobody refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def slices(batches: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:
+    """The same rows in smaller frames, for functions whose output is larger than their input."""
+    for batch in batches:
+        for start in range(0, len(batch), rows):
+            yield batch.iloc[start : start + rows]
+
+
 def release(kept: list[tuple[SparkSession, str]] | None = None) -> None:
     """Delete the tables that ``materialize`` wrote."""
     todo = _KEPT if kept is None else kept

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, materialize, table
+from .common import components, materialize, slices, table
 from .shingles import WordHashes, mix, shingle_hashes, shingle_set, word_hashes
 
 PERCENT, WIDTH = 75, 5
@@ -126,7 +126,7 @@ def _sets(shipped, width: int, percent: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache, (level, splits) = WordHashes(), shipped.value
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 x = shingle_set(word_hashes(text, cache), width)
@@ -167,7 +167,7 @@ def _by_bitmap(percent: int):
 def _arrays(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             yield pd.DataFrame({"doc_id": batch["doc_id"], "x": [shingle_set(word_hashes(t, cache), width).tobytes() for t in batch["text"]]})
 
     return run

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, slices, table
 
 WINDOW = 2048
 END_ID = 1
@@ -85,7 +85,7 @@ def _pieces(window: int, path: str):
 
         tokenizer, part = ByteTokenizer(path), TaskContext.get().partitionId()
         seen: dict[int, int] = {}
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 ids = np.array([*tokenizer.ids(text or ""), END_ID], dtype="<u4")

@@ -12,7 +12,7 @@ import numpy as np
 import xxhash
 
 _MASK = (1 << 64) - 1
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 200_000
 
 
 class WordHashes(dict):
