@@ -24,6 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+#: Rows and bytes of a batch that goes to Python; Spark's own default of 10,000 whole texts takes too much memory.
+BATCH_SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep batches for Python functions small, unless the session asks for smaller ones."""
+    for key, most in BATCH_SETTINGS.items():
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= int(most):
+            spark.conf.set(key, most)
+
+
 def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -32,6 +44,7 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     the shuffle files of the steps before be removed.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_dir(spark)}/quarrylog/{label}-{uuid.uuid4().hex}"
     _drop_shuffles(spark)  # of the step before, whose events may have held them when it ended
     df.write.parquet(path)
@@ -73,6 +86,7 @@ def _release_quietly() -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
