@@ -176,7 +176,7 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
         rows.append((labels.index(r["lang"]), index, _tfidf(index, np.frombuffer(r["cnt"], dtype="<i4"), idf)))
     held = int(len(rows) * s.calibration_share)
     weights = train(rows[held:], max(1, len(labels)), dims, s)
-    logits = np.array([weights[:, i] @ x for _, i, x in rows[:held]]).reshape(held, -1)
+    logits = np.array([weights[:, i] @ x for _, i, x in rows[:held]]).reshape(held, max(1, len(labels)))
     temperature = fit_temperature(logits, np.array([label for label, _, _ in rows[:held]], dtype=int))
     return Model(labels if rows else (), weights.astype(np.float32), idf, temperature, s)
 
