@@ -17,11 +17,15 @@ Documents are sets of distinct word shingles (see ``shingles``); two link when
   frequent shingles are split by a salt that grows with the counter. Each
   document is compared with the first of its split, and these with the first of
   the tile; what links becomes components.
+* In large tiles that still hold two components, each document is compared with
+  a few neighbours in an order dealt by a hash, which joins most of what belongs
+  together before all pairs are looked at.
 * Tiles that still hold two components are joined whole. Only pairs of
   different components count whose sizes allow a link and whose parity bitmaps
-  do, those of the part and those of the whole sets: of two sets, the bits in which the bitmaps differ are at most the
-  shingles in which the sets differ, which bounds the overlap from above. Links
-  inside a component can't change a component.
+  do, those of the part and those of the whole sets: of two sets, the bits in
+  which the bitmaps differ are at most the shingles in which the sets differ,
+  which bounds the overlap from above. Links inside a component can't change a
+  component.
 * Candidates meet wider bitmaps (as many bits as the size needs) and then the
   exact intersection of the sorted shingle arrays of the whole texts.
 
@@ -34,12 +38,12 @@ other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -52,6 +56,8 @@ _LEAST_BITS, _MOST_BITS = 512, 1 << 16
 _SET_SCHEMA = "doc_id long, n int, digest binary, sig binary, whole array<long>, bits array<long>, sizes array<int>, tokens array<long>, salts array<int>, slots array<int>"
 #: The smallest size of band 1, the ratio of one band's sizes to the next one's, and the bits of a part's bitmap.
 _BAND_FROM, _BAND_RATIO, _PART_BITS = 128, 4, 128
+#: Tiles of so many rows are first dealt into splits of about so many, where each row meets so many neighbours.
+_LARGE_TILE, _SPLIT_ROWS, _NEIGHBOURS = 16, 64, 4
 
 
 def _bucket(shingles: np.ndarray) -> np.ndarray:
@@ -202,11 +208,34 @@ class _Verifier:
         return materialize(left.join(on("a"), "a").join(on("b"), "b").mapInPandas(_by_intersection(self.percent), "a long, b long").distinct(), "links")
 
 
-def _sizes_fit(x: str, y: str, percent: int):
+def _sizes_fit(x: Column | str, y: Column | str, percent: int) -> Column:
     low, high = F.least(x, y), F.greatest(x, y)
     return low * 100 >= high * percent
 
 
+def _room(x: Callable[[str], Column], y: Callable[[str], Column], percent: int) -> Column:
+    """Whether sizes and bitmaps, of the part and of the whole sets, leave room for a link."""
+
+    def overlap(size: str, words: list[str]) -> Column:
+        both = x(size) + y(size)
+        differ = sum((F.bit_count(x(w).bitwiseXOR(y(w))) for w in words), F.lit(0))
+        return (both - differ) * (100 + percent) >= both * (2 * percent)
+
+    fit = _sizes_fit(x("n"), y("n"), percent) & _sizes_fit(x("m"), y("m"), percent)
+    return fit & overlap("m", ["b0", "b1"]) & overlap("n", [f"w{k}" for k in range(_LEAST_BITS // 64)])
+
+
+def _few_of_tile(tiles: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents that a hash deals next to each other in a split of their tile; linear in its rows."""
+    columns = [c for c in tiles.columns if c not in ("token", "size")]
+    dealt = tiles.withColumn("place", F.xxhash64("token", "doc_id")).withColumn("split", F.pmod("place", F.ceil(F.col("size") / _SPLIT_ROWS)))
+    order = Window.partitionBy("token", "split").orderBy("place", "doc_id")
+    others = F.array(*[F.lag(F.struct(*columns), k).over(order) for k in range(1, _NEIGHBOURS + 1)])
+    fits = lambda p: p.isNotNull() & (p["component"] != F.col("component")) & _room(F.col, lambda c: p[c], percent)
+    near = dealt.withColumn("others", others).select("doc_id", F.explode(F.transform(F.filter("others", fits), lambda p: p["doc_id"])).alias("other"))
+    return near.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b"))
+
+
 def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
@@ -237,32 +266,30 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     # Tiles with more than one component left.
     named = tiles.select("token", "doc_id", "n", "slot").join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     named = named.select("token", "doc_id", "n", "slot", F.coalesce("component", "doc_id").alias("component"))
-    mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+    mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi")
     parts = sets.where("n > 0").select("doc_id", "n", "digest", "whole", "sizes", "bits").dropDuplicates(["doc_id", "digest"])
     slot = F.col("slot")
     open_tiles = materialize(
-        named.join(mixed, "token").join(parts, ["doc_id", "n"]).select(
-            "token", "doc_id", "component", "n", F.get("sizes", slot).alias("m"), F.get("bits", 2 * slot).alias("b0"), F.get("bits", 2 * slot + 1).alias("b1"),
+        named.join(mixed.select("token", "size"), "token").join(parts, ["doc_id", "n"]).select(
+            "token", "size", "doc_id", "component", "n", F.get("sizes", slot).alias("m"), F.get("bits", 2 * slot).alias("b0"), F.get("bits", 2 * slot + 1).alias("b1"),
             *[F.get("whole", F.lit(k)).alias(f"w{k}") for k in range(_LEAST_BITS // 64)],
         ),
         "mixed",
     )
-    x, y = (open_tiles.select(*[F.col(c).alias(f"{side}_{c}") for c in open_tiles.columns]) for side in "xy")
-
-    def room(size: str, words: list[str]):
-        """Whether the overlap that the bitmaps leave possible reaches the threshold."""
-        both = F.col(f"x_{size}") + F.col(f"y_{size}")
-        differ = sum((F.bit_count(F.col(f"x_{w}").bitwiseXOR(F.col(f"y_{w}"))) for w in words), F.lit(0))
-        return (both - differ) * (100 + percent) >= both * (2 * percent)
 
+    # Large tiles: each document with a few others of its tile, as dealt by a hash, before all are joined.
+    dealt = verify(_few_of_tile(open_tiles.where(F.col("size") >= _LARGE_TILE), percent).distinct())
+    links = links.union(dealt)
+    linked = components(links)
+    moved = linked.select(F.col("node").alias("doc_id"), F.col("component").alias("now"))
+    x, y = (
+        open_tiles.join(moved, "doc_id", "left").withColumn("component", F.coalesce("now", "component"))
+        .select(*[F.col(c).alias(f"{side}_{c}") for c in open_tiles.columns if c != "size"])
+        for side in "xy"
+    )
     candidates = x.join(
         y,
-        (F.col("x_token") == F.col("y_token"))
-        & (F.col("x_component") < F.col("y_component"))
-        & _sizes_fit("x_n", "y_n", percent)
-        & _sizes_fit("x_m", "y_m", percent)
-        & room("m", ["b0", "b1"])
-        & room("n", [f"w{k}" for k in range(_LEAST_BITS // 64)]),
+        (F.col("x_token") == F.col("y_token")) & (F.col("x_component") < F.col("y_component")) & _room(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}"), percent),
     ).select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b"))
     more = verify(candidates.distinct())
     final = components(links.union(more))
