@@ -77,6 +77,33 @@ def test_ngram_join(docs):
     assert ngram_join.jaccard_join(empty(docs)).count() == 0
 
 
+def test_ngram_join_of_large_tiles(spark):
+    """Near copies of one text whose first row is far from most: stars leave them open, later rounds join them."""
+    rng = np.random.default_rng(4)
+    base, rows = prose(3, 120).split(), []
+    for k in range(90):
+        words = list(base)
+        for at in rng.choice(len(words), 6 if k == 0 else int(rng.integers(0, 4)), replace=False):
+            words[at] = f"y{rng.integers(9999)}"
+        rows.append((k, " ".join(words)))
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, w in ((k, t.split()) for k, t in rows)}
+    linked = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    got = ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == linked_classes(sets, linked)
+
+
+def test_dealt_neighbours(spark):
+    """Only rows of different components, in room for a link, meet; each row meets a bounded number."""
+    words = ", ".join(f"0L AS w{k}" for k in range(8))
+    tile = spark.range(200).selectExpr("7L AS token", "200L AS size", "id AS doc_id", "id % 2 AS component", "100 AS n", "100 AS m", "0L AS b0", "0L AS b1", *words.split(", "))
+    pairs = ngram_join._few_of_tile(tile, 75).collect()
+    assert 0 < len(pairs) <= 200 * ngram_join._NEIGHBOURS
+    assert all(p.a < p.b and (p.a - p.b) % 2 for p in pairs)
+    far = tile.withColumn("b0", F.when(F.col("component") == 0, F.lit(0)).otherwise(F.lit(-1)).cast("long"))
+    assert ngram_join._few_of_tile(far, 75).count() == 0
+    assert ngram_join._few_of_tile(tile.where("false"), 75).count() == 0
+
+
 def test_bitmaps_never_hide_a_link():
     rng = np.random.default_rng(1)
     for n in (5, 60, 700):
