@@ -13,8 +13,17 @@ of a band bucket is compared with the bucket's least, by the exact Jaccard
 similarity of the shingles; buckets that still hold two components are joined
 whole, pairs of different components only. Buckets that
 only one document fills are left out. A component is a class of paragraphs; it counts if it stands in more than one document; what only repeats
-within one document is left alone. The class's paragraphs in its smallest doc_id stay, the others
-are removals; overlapping paragraphs of a document are merged into spans.
+within one document is left alone.
+
+Paragraphs are seeds of passages: each place of a class is aligned with the class's
+first place (of the smallest doc_id) and extended word by word to both sides, also
+past edits of at most ``EDIT`` words that ``width`` equal words follow, as long as
+the exact Jaccard similarity of the two sides holds. A place that doesn't align
+stays the bare paragraph. The first places stay, the others are removals;
+overlapping ones of a document are merged into spans. At most ``REACH`` words
+beyond the outer paragraphs are looked at: an exact passage of length + spacing
+words ends less than ``spacing`` words from a paragraph of it. Fewer than
+``width`` words between an edit and the end of a passage stay.
 
 Defined results: null and empty texts and texts shorter than a paragraph have
 none; rows with a null doc_id are left alone; rows that repeat a doc_id are one
@@ -37,6 +46,9 @@ from .common import components, materialize, slices, table
 from .shingles import WordHashes, mix, shingle_hashes, word_hashes
 
 LENGTH, SPACING, WIDTH, PERCENT, ROWS, RECALL = 24, 26, 5, 75, 3, 0.9
+#: Words looked at beyond the outer paragraphs of a passage, and words of one edit.
+REACH, EDIT = 64, 3
+_EDITS = sorted(((a, b) for a in range(EDIT + 1) for b in range(EDIT + 1) if a + b), key=lambda e: (max(e), abs(e[0] - e[1]), e))
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -189,32 +201,154 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, spacing: int = SPAC
 
     classed = where.join(components(links).withColumnRenamed("node", "digest"), "digest", "left").select("doc_id", "start", F.coalesce("component", "digest").alias("class"))
     in_docs = classed.select("class", "doc_id").distinct()
-    classes = materialize(in_docs.groupBy("class").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_documents")).where("n_documents > 1"), "classes")
-    hits = classed.join(classes, "class").select("doc_id", "start", "first", "n_documents")
-    # Of a document: paragraphs in order; a span ends where the next one starts beyond its end.
-    spans = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "first", "n_documents"))).alias("hits"))
-    return spans.mapInPandas(_merged(length), "doc_id long, start_word long, end_word long, component_id long, n_documents long, removed boolean")
-
-
-def _merged(length: int):
+    firsts = classed.groupBy("class").agg(F.min(F.struct("doc_id", "start")).alias("at"))
+    counts = in_docs.groupBy("class").agg(F.count("*").alias("n_documents")).where("n_documents > 1")
+    classes = materialize(counts.join(firsts, "class").select("class", F.col("at.doc_id").alias("first"), F.col("at.start").alias("f_start"), "n_documents"), "classes")
+    hits = classed.join(classes, "class").select("doc_id", "start", F.lit(length).alias("size"), "first", "f_start", "n_documents")
+    spans = materialize(extended(hits, texts, width, percent), "spans")
+    # Of a document: spans in order; one ends where the next one starts beyond its end.
+    joined = spans.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end", "first", "n_documents"))).alias("hits"))
+    return joined.mapInPandas(_merged, "doc_id long, start_word long, end_word long, component_id long, n_documents long, removed boolean")
+
+
+def extended(hits: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Passages around the places ``hits`` (doc_id, start, size, first, f_start, n_documents), in both documents: doc_id, start, end, first, n_documents."""
+    pairs = hits.where("doc_id <> first OR start <> f_start").groupBy("doc_id").agg(F.collect_set(F.struct("first", (F.col("start") - F.col("f_start")).alias("shift"), "start", "size", "n_documents")).alias("hits"))
+    chains = materialize(pairs.mapInPandas(_chained, "doc_id long, first long, f_from long, f_to long, seeds array<long>, n_documents long"), "chains")
+    # The words of the first place travel to the document; a stretch is read once however many documents repeat it.
+    stretches = chains.select("first", "f_from", "f_to").distinct()
+    wanted = stretches.groupBy("first").agg(F.collect_list(F.struct("f_from", "f_to")).alias("wanted")).withColumnRenamed("first", "doc_id")
+    words = materialize(texts.join(wanted, "doc_id").mapInPandas(_stretches, "first long, f_from long, f_to long, words binary").dropDuplicates(["first", "f_from", "f_to"]), "stretches")
+    sides = chains.join(words, ["first", "f_from", "f_to"]).groupBy("doc_id").agg(F.collect_list(F.struct("first", "f_from", "seeds", "words", "n_documents")).alias("chains"))
+    found = texts.join(sides, "doc_id").mapInPandas(_aligned(width, percent), "doc_id long, start long, end long, first long, n_documents long")
+    return found.distinct()
+
+
+def _chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Places of one document on one shift against one first document, cut where they stand far apart."""
+    for batch in batches:
+        rows = []
+        for doc_id, hits in zip(batch["doc_id"], batch["hits"], strict=True):
+            last = None
+            for h in sorted(hits, key=lambda h: (h["first"], h["shift"], h["start"], h["size"])):
+                at, end = h["start"] - h["shift"], h["start"] - h["shift"] + h["size"]
+                if last and (last[0], last[1]) == (h["first"], h["shift"]) and at <= last[3] + REACH:
+                    last[3], last[5] = max(last[3], end), max(last[5], h["n_documents"])
+                    last[4] += [h["start"], at, h["size"]]
+                else:
+                    last = [h["first"], h["shift"], at, end, [h["start"], at, h["size"]], h["n_documents"]]
+                    rows.append((doc_id, last))
+        out = [(doc_id, r[0], max(0, r[2] - REACH), r[3] + REACH, r[4], r[5]) for doc_id, r in rows]
+        yield pd.DataFrame(out, columns=["doc_id", "first", "f_from", "f_to", "seeds", "n_documents"])
+
+
+def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    cache = WordHashes()
+    for batch in slices(batches, 100):
+        rows = []
+        for doc_id, text, wanted in zip(batch["doc_id"], batch["text"], batch["wanted"], strict=True):
+            w = (word_hashes(text, cache) >> np.uint64(32)).astype("<u4")
+            rows.extend((doc_id, x["f_from"], x["f_to"], w[x["f_from"] : x["f_to"]].tobytes()) for x in wanted)
+        yield pd.DataFrame(rows, columns=["first", "f_from", "f_to", "words"])
+
+
+def _reach(x: np.ndarray, y: np.ndarray, width: int) -> list[tuple[int, int]]:
+    """Lengths of both sides that agree from their start on, one for each edit passed."""
+    i = j = 0
+    ends = []
+    while True:
+        n = min(len(x) - i, len(y) - j)
+        differ = x[i : i + n] != y[j : j + n]
+        run = int(differ.argmax()) if differ.any() else n
+        i, j = i + run, j + run
+        ends.append((i, j))
+        p, q = x[i : i + EDIT + width].tolist(), y[j : j + EDIT + width].tolist()
+        for a, b in _EDITS:
+            if len(p) >= a + width and len(q) >= b + width and p[a : a + width] == q[b : b + width]:
+                i, j = i + a, j + b
+                break
+        else:
+            return ends
+
+
+def _core(x: np.ndarray, y: np.ndarray, width: int) -> tuple[int, int] | None:
+    """Where the first ``width`` equal words stand in two places, which may be a few words apart."""
+    p, q = x.tolist(), y.tolist()
+    for shift in sorted(range(width - len(q), len(p) - width + 1), key=abs):
+        run = 0
+        for i in range(max(0, shift), min(len(p), len(q) + shift)):
+            run = run + 1 if p[i] == q[i - shift] else 0
+            if run == width:
+                return i - width + 1, i - shift - width + 1
+    return None
+
+
+def _alike(x: np.ndarray, y: np.ndarray, width: int, percent: int) -> bool:
+    if np.array_equal(x, y):
+        return True
+    a, b = (np.unique(shingle_hashes(s.astype(np.uint64), width)) for s in (x, y))
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def passage(d: np.ndarray, f: np.ndarray, start: int, at: int, size: int, width: int, percent: int) -> tuple[int, int, int, int]:
+    """The widest similar passage around the place ``start`` of d and ``at`` of f: its bounds in both."""
+    core = _core(d[start : start + size], f[at : at + size], width)
+    if core is None:
+        return start, start + size, at, at + size  # linked through others
+    s, t = start + core[0], at + core[1]
+    right = [(s + i, t + j) for i, j in _reach(d[s:], f[t:], width)]
+    left = [(s - i, t - j) for i, j in _reach(d[:s][::-1], f[:t][::-1], width)]
+    while True:
+        (a, fa), (b, fb) = left[-1], right[-1]
+        if _alike(d[a:b], f[fa:fb], width, percent):
+            return (a, b, fa, fb) if b - a >= size - 2 * EDIT else (start, start + size, at, at + size)
+        # Give up the outer piece that is the shorter one.
+        short_left = len(left) > 1 and (len(right) == 1 or left[-2][0] - a <= b - right[-2][0])
+        (left if short_left else right).pop()
+
+
+def _aligned(width: int, percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        cache = WordHashes()
+        for batch in slices(batches, 100):
             rows = []
-            for doc_id, hits in zip(batch["doc_id"], batch["hits"], strict=True):
-                spans: list[list] = []
-                for h in hits:
-                    removed = h["first"] != doc_id
-                    if spans and h["start"] <= spans[-1][1] and spans[-1][4] == removed:
-                        s = spans[-1]
-                        s[1], s[2], s[3] = h["start"] + length, min(s[2], h["first"]), max(s[3], h["n_documents"])
-                    else:
-                        spans.append([h["start"], h["start"] + length, h["first"], h["n_documents"], removed])
-                rows.extend((doc_id, *s) for s in spans)
-            yield pd.DataFrame(rows, columns=["doc_id", "start_word", "end_word", "component_id", "n_documents", "removed"])
+            for doc_id, text, chains in zip(batch["doc_id"], batch["text"], batch["chains"], strict=True):
+                d = (word_hashes(text, cache) >> np.uint64(32)).astype("<u4")
+                for c in chains:
+                    f, base, done = np.frombuffer(c["words"], "<u4"), c["f_from"], 0
+                    for start, at, size in np.asarray(c["seeds"], dtype=np.int64).reshape(-1, 3).tolist():
+                        if start + size <= done:
+                            continue  # inside the passage of the place before
+                        # Of a long document only the words beside the chain.
+                        cut = max(0, start - (at - base) - EDIT * REACH)
+                        a, b, fa, fb = passage(d[cut : cut + len(f) + 2 * EDIT * REACH], f, start - cut, at - base, size, width, percent)
+                        done = a + cut + (b - a)
+                        rows.append((doc_id, a + cut, b + cut, c["first"], c["n_documents"]))
+                        rows.append((c["first"], fa + base, fb + base, c["first"], c["n_documents"]))
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "first", "n_documents"])
 
     return run
 
 
+def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for doc_id, hits in zip(batch["doc_id"], batch["hits"], strict=True):
+            spans: list[list] = []
+            last: dict[bool, list] = {}
+            for h in hits:
+                removed = h["first"] != doc_id
+                s = last.get(removed)
+                if s and h["start"] <= s[1]:
+                    s[1], s[2], s[3] = max(s[1], h["end"]), min(s[2], h["first"]), max(s[3], h["n_documents"])
+                else:
+                    last[removed] = [h["start"], h["end"], h["first"], h["n_documents"], removed]
+                    spans.append(last[removed])
+            rows.extend((doc_id, *s) for s in spans)
+        yield pd.DataFrame(rows, columns=["doc_id", "start_word", "end_word", "component_id", "n_documents", "removed"])
+
+
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     """``text`` without the given ranges of words and the white space after them."""
     raw = text.encode()

@@ -141,6 +141,22 @@ def test_passages(spark):
     assert passage_dedup.cut_words("a b\nc d e", [(1, 3)]) == "a d e"
 
 
+def test_passages_go_whole(spark):
+    rng = np.random.default_rng(77)
+    passages = [" ".join(f"p{k}x{i}" for i in range(n)) for k, n in enumerate([50, 60, 60, 100, 500])]
+    rows, want = [], {}
+    for k, p in enumerate(passages):
+        for copy in range(3):
+            before, after = (" ".join(f"u{k}y{copy}z{rng.integers(10**9)}" for _ in range(30 + 7 * copy)) for _ in range(2))
+            rows.append((10 * copy + k, f"{before} {p} {after}"))
+            want[10 * copy + k] = f"{before} {p} {after}" if copy == 0 else f"{before} {after}"
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = common.materialize(passage_dedup.repeated_passages(docs))
+    assert {r.doc_id: r.text for r in passage_dedup.remove_passages(docs, spans).collect()} == want
+    kept = {r.doc_id: r.end_word - r.start_word for r in spans.where("NOT removed AND doc_id < 10").collect()}
+    assert kept == {k: len(p.split()) for k, p in enumerate(passages)}
+
+
 def test_anchors_are_dense_and_follow_content():
     h = np.random.default_rng(2).integers(0, 1 << 63, 500).astype(np.uint64)
     at = passage_dedup.anchors(h, 24, 26, 5)
