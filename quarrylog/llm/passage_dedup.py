@@ -25,6 +25,13 @@ beyond the outer paragraphs are looked at: an exact passage of length + spacing
 words ends less than ``spacing`` words from a paragraph of it. Fewer than
 ``width`` words between an edit and the end of a passage stay.
 
+Near copies keep few whole paragraphs, as an edit changes every paragraph over it.
+So short runs of ``SEED`` words at their own, denser anchors are seeds too: two
+passages of 50 words or more with separate edits and a Jaccard similarity of at least
+3/4 have at most one edit in 35 words, so 22 equal words in a row and a seed in them,
+whatever the bands of their paragraphs do. A seed counts if the aligned passage has
+at least 2 * length words.
+
 Defined results: null and empty texts and texts shorter than a paragraph have
 none; rows with a null doc_id are left alone; rows that repeat a doc_id are one
 document; an empty table gives an empty result; other columns are ignored.
@@ -48,6 +55,8 @@ from .shingles import WordHashes, mix, shingle_hashes, word_hashes
 LENGTH, SPACING, WIDTH, PERCENT, ROWS, RECALL = 24, 26, 5, 75, 3, 0.9
 #: Words looked at beyond the outer paragraphs of a passage, and words of one edit.
 REACH, EDIT = 64, 3
+#: Words and spacing of the short seeds: any SEED + SEED_SPACING - 1 = 22 equal words hold a whole one.
+SEED, SEED_SPACING = 12, 11
 _EDITS = sorted(((a, b) for a in range(EDIT + 1) for b in range(EDIT + 1) if a + b), key=lambda e: (max(e), abs(e[0] - e[1]), e))
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -92,11 +101,16 @@ class _Signer:
         return out
 
 
+def _digests(windows: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix((windows * mix(np.arange(1, windows.shape[1] + 1, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)).view(np.int64)
+
+
 def _paragraphs(length: int, spacing: int, width: int, signer: _Signer):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, reach = WordHashes(), np.arange(length - width + 1)
+        cache, reach, short = WordHashes(), np.arange(length - width + 1), np.arange(SEED - width + 1)
         for batch in batches:
-            ids, starts, windows = [], [], []
+            ids, starts, windows, seed_ids, seed_starts, seeds = [], [], [], [], [], []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 s = shingle_hashes(word_hashes(text, cache), width)
                 at = anchors(s, length, spacing, width)
@@ -104,16 +118,20 @@ def _paragraphs(length: int, spacing: int, width: int, signer: _Signer):
                     ids.append(np.full(len(at), doc_id))
                     starts.append(at)
                     windows.append(s[at[:, None] + reach])
+                    at = anchors(s, SEED, SEED_SPACING, width)
+                    seed_ids.append(np.full(len(at), doc_id))
+                    seed_starts.append(at)
+                    seeds.append(s[at[:, None] + short])
             if not ids:
                 continue
             w = np.concatenate(windows)
-            with np.errstate(over="ignore"):
-                digest = mix((w * mix(np.arange(1, len(reach) + 1, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)).view(np.int64)
+            digest = _digests(w)
             first = np.zeros(len(w), dtype=bool)  # one of a digest brings the band keys along
             first[np.unique(digest, return_index=True)[1]] = True
             keys = signer.keys(w).view(np.int64)
+            yield pd.DataFrame({"doc_id": np.concatenate(seed_ids), "start": np.concatenate(seed_starts), "digest": _digests(np.concatenate(seeds)), "bands": None, "size": SEED})
             yield pd.DataFrame(
-                {"doc_id": np.concatenate(ids), "start": np.concatenate(starts), "digest": digest, "bands": [k if f else None for k, f in zip(keys, first, strict=True)]}
+                {"doc_id": np.concatenate(ids), "start": np.concatenate(starts), "digest": digest, "bands": [k if f else None for k, f in zip(keys, first, strict=True)], "size": length}
             )
 
     return run
@@ -172,7 +190,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, spacing: int = SPAC
     """
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     signer = _Signer(rows, tuned_bands(percent, rows, recall))
-    found = materialize(texts.mapInPandas(_paragraphs(length, spacing, width, signer), "doc_id long, start long, digest long, bands array<long>"), "paragraphs")
+    found = materialize(texts.mapInPandas(_paragraphs(length, spacing, width, signer), "doc_id long, start long, digest long, bands array<long>, size int"), "paragraphs")
 
     # Band buckets with several digests from several documents. Copies of a paragraph bring their keys
     # once per batch, so no key is hot through copies; overlapping paragraphs of one document don't count.
@@ -182,7 +200,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, spacing: int = SPAC
     seen = entries.select("key", "digest", low, high, F.min("doc_id").over(bucket).alias("d_lo"), F.max("doc_id").over(bucket).alias("d_hi"))
     buckets = materialize(seen.where("lo < hi AND d_lo < d_hi").select("key", "digest", "lo").distinct(), "buckets")
     stars = buckets.where("digest <> lo").select(F.col("lo").alias("a"), F.col("digest").alias("b"))
-    where = found.select("doc_id", "start", "digest")
+    where = found.where(F.col("size") == length).select("doc_id", "start", "digest")
     known = contents(buckets.select("digest").distinct(), where, texts, length, width)
     links = _links(stars, known, percent)
     named = buckets.join(components(links).withColumnRenamed("node", "digest"), "digest", "left").select("key", "digest", F.coalesce("component", "digest").alias("component"))
@@ -205,13 +223,22 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, spacing: int = SPAC
     counts = in_docs.groupBy("class").agg(F.count("*").alias("n_documents")).where("n_documents > 1")
     classes = materialize(counts.join(firsts, "class").select("class", F.col("at.doc_id").alias("first"), F.col("at.start").alias("f_start"), "n_documents"), "classes")
     hits = classed.join(classes, "class").select("doc_id", "start", F.lit(length).alias("size"), "first", "f_start", "n_documents")
-    spans = materialize(extended(hits, texts, width, percent), "spans")
+    spans = materialize(extended(hits.union(shared_seeds(found)), texts, width, percent, length), "spans")
     # Of a document: spans in order; one ends where the next one starts beyond its end.
     joined = spans.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end", "first", "n_documents"))).alias("hits"))
     return joined.mapInPandas(_merged, "doc_id long, start_word long, end_word long, component_id long, n_documents long, removed boolean")
 
 
-def extended(hits: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def shared_seeds(found: DataFrame) -> DataFrame:
+    """The places of short seeds that stand in several documents, with the first place of each."""
+    seeds = found.where(F.col("size") == SEED).select("doc_id", "start", "digest")
+    firsts = seeds.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.max("doc_id").alias("last")).where("at.doc_id < last")
+    places = materialize(seeds.join(firsts.select("digest", "at"), "digest"), "seeds")
+    counts = places.select("digest", "doc_id").distinct().groupBy("digest").agg(F.count("*").alias("n_documents"))
+    return places.join(counts, "digest").select("doc_id", "start", F.lit(SEED).alias("size"), F.col("at.doc_id").alias("first"), F.col("at.start").alias("f_start"), "n_documents")
+
+
+def extended(hits: DataFrame, texts: DataFrame, width: int, percent: int, length: int) -> DataFrame:
     """Passages around the places ``hits`` (doc_id, start, size, first, f_start, n_documents), in both documents: doc_id, start, end, first, n_documents."""
     pairs = hits.where("doc_id <> first OR start <> f_start").groupBy("doc_id").agg(F.collect_set(F.struct("first", (F.col("start") - F.col("f_start")).alias("shift"), "start", "size", "n_documents")).alias("hits"))
     chains = materialize(pairs.mapInPandas(_chained, "doc_id long, first long, f_from long, f_to long, seeds array<long>, n_documents long"), "chains")
@@ -220,7 +247,7 @@ def extended(hits: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     wanted = stretches.groupBy("first").agg(F.collect_list(F.struct("f_from", "f_to")).alias("wanted")).withColumnRenamed("first", "doc_id")
     words = materialize(texts.join(wanted, "doc_id").mapInPandas(_stretches, "first long, f_from long, f_to long, words binary").dropDuplicates(["first", "f_from", "f_to"]), "stretches")
     sides = chains.join(words, ["first", "f_from", "f_to"]).groupBy("doc_id").agg(F.collect_list(F.struct("first", "f_from", "seeds", "words", "n_documents")).alias("chains"))
-    found = texts.join(sides, "doc_id").mapInPandas(_aligned(width, percent), "doc_id long, start long, end long, first long, n_documents long")
+    found = texts.join(sides, "doc_id").mapInPandas(_aligned(width, percent, length), "doc_id long, start long, end long, first long, n_documents long")
     return found.distinct()
 
 
@@ -308,7 +335,7 @@ def passage(d: np.ndarray, f: np.ndarray, start: int, at: int, size: int, width:
         (left if short_left else right).pop()
 
 
-def _aligned(width: int, percent: int):
+def _aligned(width: int, percent: int, length: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = WordHashes()
         for batch in slices(batches, 100):
@@ -323,7 +350,9 @@ def _aligned(width: int, percent: int):
                         # Of a long document only the words beside the chain.
                         cut = max(0, start - (at - base) - EDIT * REACH)
                         a, b, fa, fb = passage(d[cut : cut + len(f) + 2 * EDIT * REACH], f, start - cut, at - base, size, width, percent)
-                        done = a + cut + (b - a)
+                        if size < length and b - a < 2 * length:
+                            continue
+                        done = b + cut
                         rows.append((doc_id, a + cut, b + cut, c["first"], c["n_documents"]))
                         rows.append((c["first"], fa + base, fb + base, c["first"], c["n_documents"]))
             yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "first", "n_documents"])

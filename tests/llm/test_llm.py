@@ -157,6 +157,22 @@ def test_passages_go_whole(spark):
     assert kept == {k: len(p.split()) for k, p in enumerate(passages)}
 
 
+def test_edited_passages_go(spark):
+    rows, want, edits = [], {}, [(55, [27]), (55, [20]), (60, [30]), (60, [9]), (60, [24]), (80, [26, 53]), (80, [23, 50]), (110, [28, 55, 82])] * 4
+    for k, (n, at) in enumerate(edits):
+        words = [f"p{k}x{i}" for i in range(n)]
+        near = [f"e{k}y{i}" if i in at else w for i, w in enumerate(words)]
+        a, b = ({tuple(x[i : i + 5]) for i in range(n - 4)} for x in (words, near))
+        assert len(a & b) >= 0.75 * len(a | b)  # brute force
+        for copy, passage in enumerate((words, near)):
+            around = [" ".join(f"{s}{k}u{copy}z{i}" for i in range(40 + 9 * copy)) for s in "bc"]
+            rows.append((100 * copy + k, f"{around[0]} {' '.join(passage)} {around[1]}"))
+            want[100 * copy + k] = " ".join(around) if copy else rows[-1][1]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = common.materialize(passage_dedup.repeated_passages(docs))
+    assert {r.doc_id: r.text for r in passage_dedup.remove_passages(docs, spans).collect()} == want
+
+
 def test_anchors_are_dense_and_follow_content():
     h = np.random.default_rng(2).integers(0, 1 << 63, 500).astype(np.uint64)
     at = passage_dedup.anchors(h, 24, 26, 5)
