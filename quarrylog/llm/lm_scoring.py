@@ -4,7 +4,8 @@ Every token is predicted from the two tokens on either side: the embeddings of
 the four, one table per side and distance, are added and passed through a tanh
 layer; a two-level softmax gives the token's class and its place in the class.
 The vocabulary is the most frequent words of the whole corpus, the rest hashed
-into a few shared entries. The network is trained in numpy, data-parallel: each
+into a few shared entries; a third level is the word's share of its entry, from
+its count over all documents, so the probabilities of all words add up to one. The network is trained in numpy, data-parallel: each
 partition starts from the current weights, learns from every document it holds
 (of each, one position in ``stride``, at an offset that depends on the text) and
 its weights are averaged, by the tokens learned from, over the partitions. The
@@ -59,12 +60,16 @@ class Vocabulary(dict):
         if len(self) > 500_000:
             for key in list(self)[self.known :]:
                 del self[key]
-        value = self[word] = self.first + xxhash.xxh3_64_intdigest(word) % self.shared
+        value = self[word] = -1 - (xxhash.xxh3_64_intdigest(word) >> 1)
         return value
 
-    def ids(self, text: bytes | None) -> np.ndarray:
+    def codes(self, text: bytes | None) -> np.ndarray:
+        """Per word its entry, or -1 - hash outside the list."""
         words = text.lower().split() if text else []
-        return np.fromiter(map(self.__getitem__, words), dtype=np.int32, count=len(words))
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+
+    def ids(self, codes: np.ndarray) -> np.ndarray:
+        return np.where(codes < 0, self.first + (-1 - codes) % self.shared, codes)
 
 
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,16 +160,27 @@ def _encode(shipped, s: Settings):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocab = Vocabulary(shipped.value, s)
         for batch in batches:
-            ids = [vocab.ids(text).astype("<u2").tobytes() for text in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids}).astype({"doc_id": "Int64"})
+            codes = [vocab.codes(text) for text in batch["text"]]
+            ids = [vocab.ids(c).astype("<u2").tobytes() for c in codes]
+            rare = [np.unique(c[c < 0], return_counts=True) for c in codes]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids, "rare": [r for r, _ in rare], "times": [n for _, n in rare]}).astype({"doc_id": "Int64"})
 
     return run
 
 
 def encode(docs: DataFrame, words: list[bytes], s: Settings) -> DataFrame:
-    """(doc_id, ids): every whole text as entries of the vocabulary."""
+    """(doc_id, ids, rare, times): every whole text as entries of the vocabulary, its words outside the list by hash."""
     shipped = docs.sparkSession.sparkContext.broadcast(words)  # fewer words than the vocabulary has entries
-    return docs.mapInPandas(_encode(shipped, s), "doc_id long, ids binary")
+    return docs.mapInPandas(_encode(shipped, s), "doc_id long, ids binary, rare array<long>, times array<long>")
+
+
+def rare_shares(encoded: DataFrame, s: Settings) -> DataFrame:
+    """(tag, rare_score): the log-shares of a row's words outside the list in their entries, by counts over all rows."""
+    rows = encoded.select("tag", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("tag", F.col("x.rare").alias("word"), F.col("x.times").alias("n"))
+    counts = materialize(rows.groupBy("word").agg(F.sum("n").alias("total")).withColumn("entry", F.pmod(-1 - F.col("word"), F.lit(s.shared))), "counts")
+    entries = counts.groupBy("entry").agg(F.sum("total").alias("whole"))  # at most ``shared`` rows
+    shares = counts.join(F.broadcast(entries), "entry").select("word", F.log(F.col("total") / F.col("whole")).alias("share"))
+    return rows.join(shares, "word").groupBy("tag").agg(F.sum(F.col("n") * F.col("share")).alias("rare_score"))
 
 
 def _learn(shipped, s: Settings):
@@ -226,7 +242,7 @@ def _score(shipped, s: Settings):
                 ids = np.frombuffer(raw, dtype="<u2").astype(np.int32)
                 counts.append(len(ids))
                 scores.append(log_likelihood(shipped.value, ids, s) if len(ids) else 0.0)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": counts, "score": scores}).astype({"doc_id": "Int64"})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "tag": batch["tag"], "n_tokens": counts, "score": scores}).astype({"doc_id": "Int64"})
 
     return run
 
@@ -234,9 +250,10 @@ def _score(shipped, s: Settings):
 def score(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """``docs``: doc_id, text. One row each: doc_id, n_tokens, score, mean_score."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    encoded = materialize(encode(source, vocabulary(source.select("text"), s), s), "ids")
+    encoded = materialize(encode(source, vocabulary(source.select("text"), s), s).withColumn("tag", F.monotonically_increasing_id()), "ids")
     shipped = docs.sparkSession.sparkContext.broadcast(fit(encoded, s))
-    scored = encoded.mapInPandas(_score(shipped, s), "doc_id long, n_tokens long, score double")
+    known = encoded.select("doc_id", "tag", "ids").mapInPandas(_score(shipped, s), "doc_id long, tag long, n_tokens long, score double")
+    scored = known.join(rare_shares(encoded, s), "tag", "left").select("doc_id", "n_tokens", (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"))
     return scored.withColumn("mean_score", F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")))
 
 

@@ -288,6 +288,25 @@ def test_lm_scores(spark, docs):
     assert lm_scoring.score(empty(docs)).count() == 0
 
 
+def test_lm_scores_tell_unknown_words_from_common_ones(spark):
+    rng = np.random.default_rng(4)
+    usual = [(k, " ".join(rng.choice([f"c{i}" for i in range(12)], 40))) for k in range(60)]
+    junk = [(100 + k, " ".join(f"j{k}x{i}" for i in range(40))) for k in range(60)]
+    s = lm_scoring.Settings(classes=4, shared=4, stride=1)
+    rows = spark.createDataFrame(usual + junk + junk[:1], "doc_id long, text string")
+    got = lm_scoring.score(rows, s).collect()
+    means = {r.doc_id: r.mean_score for r in got}
+    assert len(got) == 121 and max(means[100 + k] for k in range(60)) < min(means[k] for k in range(60))
+    # The words of an entry have probabilities that add up to one.
+    source = rows.selectExpr("doc_id", "cast(text as binary) text")
+    encoded = lm_scoring.encode(source, lm_scoring.vocabulary(source.select("text"), s), s).withColumn("tag", F.col("doc_id"))
+    shares = {r.tag: r.rare_score for r in lm_scoring.rare_shares(encoded, s).collect()}
+    words = [w for _, t in junk + junk[:1] for w in t.split()]
+    entry = lambda w: (lm_scoring.xxhash.xxh3_64_intdigest(w.encode()) >> 1) % s.shared
+    whole = [sum(entry(w) == e for w in words) for e in range(s.shared)]
+    assert shares[101] == pytest.approx(sum(np.log(1 / whole[entry(w)]) for w in junk[1][1].split()))
+
+
 def test_html(spark):
     page = '<html><head><title>T</title></head><body><nav>Menu</nav><div class="cookie-notice">We use</div><article><header><h1>A &amp; B</h1></header><p>one<b>two</b> &nbsp; three<br>four<p>five<aside>Ad</aside><form>f</form><script>x="</p>"</script></article><div id="comments">c</div><footer>&copy;</footer></body>'
     rows = [(1, "http://h/1", page), (2, None, None), (3, "http://h/3", ""), (4, "http://h/4", "no markup at all"), (5, "http://h/5", "<p>a < b <i>c"), (None, "u", page)]
