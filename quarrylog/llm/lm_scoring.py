@@ -7,7 +7,7 @@ The vocabulary is the most frequent words of the whole corpus, the rest hashed
 into a few shared entries; a third level is the word's share of its entry, from
 its count over all documents, so the probabilities of all words add up to one. The network is trained in numpy, data-parallel: each
 partition starts from the current weights, learns from every document it holds
-(of each, one position in ``stride``, at an offset that depends on the text) and
+(every position is a target; a larger ``stride`` takes one in so many) and
 its weights are averaged, by the tokens learned from, over the partitions. The
 score of a document is the sum of the conditional log-probabilities of all its
 tokens.
@@ -39,7 +39,7 @@ class Settings:
     shared: int = 64  # of these, for words outside the list
     dims: int = 24
     reach: int = 2
-    stride: int = 16
+    stride: int = 1  # 1: every position is a training target
     rounds: int = 2
     rate: float = 0.5
     batch: int = 1024
@@ -133,6 +133,14 @@ def log_likelihood(w: dict, ids: np.ndarray, s: Settings, chunk: int = 8192) ->
     return total
 
 
+def _subtract_rows(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """np.subtract.at for whole rows, by sums over the sorted rows."""
+    order = np.argsort(rows, kind="stable")
+    ordered = rows[order]
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    table[ordered[first]] -= np.add.reduceat(values[order], first, axis=0)
+
+
 def step(w: dict, context: np.ndarray, target: np.ndarray, s: Settings) -> None:
     """One gradient step, in place."""
     n, row = len(target), np.arange(len(target))
@@ -146,10 +154,11 @@ def step(w: dict, context: np.ndarray, target: np.ndarray, s: Settings) -> None:
     w["major"] -= s.rate * hidden.T @ ga
     w["major_bias"] -= s.rate * ga.sum(axis=0)
     w["minor"] -= s.rate * hidden.T @ gb
-    np.subtract.at(w["minor_bias"], major, s.rate * gb)
+    _subtract_rows(w["minor_bias"], major, s.rate * gb)
     w["bias"] -= s.rate * back.sum(axis=0)
+    back *= s.rate * 8.0  # few rows per batch: larger steps
     for k, c in enumerate(context):
-        np.subtract.at(w["emb"][k], c, s.rate * 8.0 * back)  # few rows per batch: larger steps
+        _subtract_rows(w["emb"][k], c, back)
 
 
 def _pack(w: dict) -> list[bytes]:

@@ -307,6 +307,33 @@ def test_lm_scores_tell_unknown_words_from_common_ones(spark):
     assert shares[101] == pytest.approx(sum(np.log(1 / whole[entry(w)]) for w in junk[1][1].split()))
 
 
+def test_lm_learns_from_every_position(spark):
+    import pandas as pd
+
+    s = lm_scoring.Settings()  # as in production
+    texts = [np.random.default_rng(k).integers(0, s.size, n).astype("<u2").tobytes() for k, n in enumerate([1, 3, 15, 16, 40, 3000])]
+
+    class Shipped:
+        value = lm_scoring.initial(s)
+
+    got = pd.concat(lm_scoring._learn(Shipped, s)(iter([pd.DataFrame({"ids": texts})])))
+    assert set(got["tokens"]) == {1 + 3 + 15 + 16 + 40 + 3000}
+    sentence = "the cat sat on the mat and the dog lay by the door".split()
+    mixed = list(np.random.default_rng(1).permutation(sentence))
+    rows = [(k, " ".join(sentence * 20)) for k in range(600)] + [(900, " ".join(mixed * 20))]
+    scores = {r.doc_id: r.mean_score for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert scores[0] > scores[900]
+
+
+def test_rows_are_subtracted_as_one_by_one():
+    rng = np.random.default_rng(6)
+    table, rows, values = rng.random((9, 4)), rng.integers(0, 9, 50), rng.random((50, 4))
+    want = table.copy()
+    np.subtract.at(want, rows, values)
+    lm_scoring._subtract_rows(table, rows, values)
+    assert np.allclose(table, want)
+
+
 def test_html(spark):
     page = '<html><head><title>T</title></head><body><nav>Menu</nav><div class="cookie-notice">We use</div><article><header><h1>A &amp; B</h1></header><p>one<b>two</b> &nbsp; three<br>four<p>five<aside>Ad</aside><form>f</form><script>x="</p>"</script></article><div id="comments">c</div><footer>&copy;</footer></body>'
     rows = [(1, "http://h/1", page), (2, None, None), (3, "http://h/3", ""), (4, "http://h/4", "no markup at all"), (5, "http://h/5", "<p>a < b <i>c"), (None, "u", page)]
