@@ -6,19 +6,26 @@ import atexit
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 _KEPT: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share; a temporary one only where none is set."""
+    """Folder that the driver and all executors share; in local mode a temporary one where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"{tempfile.gettempdir()}/quarrylog-checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -50,7 +57,17 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     df.write.parquet(path)
     _KEPT.append((spark, path))
     _drop_shuffles(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and nothing reads any more."""
+    paths = {t._stored_at for t in tables}
+    gone = [k for k in _KEPT if k[1] in paths]
+    _KEPT[:] = [k for k in _KEPT if k[1] not in paths]
+    release(gone)
 
 
 def _drop_shuffles(spark: SparkSession) -> None:
@@ -59,6 +76,55 @@ def _drop_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: What a function for ``beside`` yields: the input rows its output rows stem from, and the columns it makes.
+Made = tuple[Sequence[int], dict[str, Sequence]]
+
+
+def beside(df: DataFrame, factory: Callable[[], Callable[[pd.DataFrame], Iterable[Made]]], reads: Sequence[str], makes: str, keeps: Sequence[str] = ()) -> DataFrame:
+    """Run Python over the columns ``reads``; the columns ``keeps`` travel beside it and never leave Arrow.
+
+    pandas has no integers with gaps, so an id that goes through it beside a null
+    loses its low digits. Here ids and columns of any other type stay as they are.
+    ``factory`` is called once a task; what it returns gets frames of ``reads``
+    and yields pairs (rows, columns): the positions in the frame that the output
+    rows stem from, and the made columns. The result has ``keeps`` and then ``makes``.
+    """
+    made = StructType.fromDDL(makes)
+    schema = StructType([*(df.schema[k] for k in keeps), *made.fields])
+    # Positions tell the columns apart, whatever their names.
+    inner = df.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keeps)], *[F.col(f"`{r}`").alias(f"r{i}") for i, r in enumerate(reads)])
+    typed = StructType.fromDDL(", ".join(f"c{i} int" for i in range(len(schema.fields))))
+    for field, like in zip(typed.fields, schema.fields, strict=True):
+        field.dataType = like.dataType
+    names, columns, n_kept = list(made.names), list(reads), len(keeps)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work, target = factory(), to_arrow_schema(typed)
+        for batch in batches:
+            frame = pa.Table.from_batches([batch.select(range(n_kept, n_kept + len(columns)))]).rename_columns(columns).to_pandas()
+            for rows, new in work(frame):
+                index = pa.array(np.asarray(rows, dtype=np.int64))
+                arrays = [batch.column(i).take(index).cast(target.field(i).type) for i in range(n_kept)]
+                arrays += [pa.array(new[c], type=target.field(n_kept + i).type, from_pandas=True) for i, c in enumerate(names)]
+                yield pa.RecordBatch.from_arrays(arrays, schema=target)
+
+    return inner.mapInArrow(run, typed).toDF(*schema.names)
+
+
+def free_name(name: str, *taken: DataFrame) -> str:
+    """``name``, or with underscores in front if a table has such a column."""
+    used = {c.lower() for t in taken for c in t.columns}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
+def others(df: DataFrame, *without: str) -> list[str]:
+    """The columns of ``df`` but some, in order."""
+    low = {w.lower() for w in without}
+    return [c for c in df.columns if c.lower() not in low]
+
+
 def slices(batches: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:
     """The same rows in smaller frames, for functions whose output is larger than their input."""
     for batch in batches:
@@ -109,14 +175,14 @@ def components(edges: DataFrame) -> DataFrame:
             "hook",
         )
         while True:
-            up = parent.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
+            before, up = parent, parent.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
             parent = materialize(
-                parent.join(up, "parent").select("node", F.col("grand").alias("parent"), (F.col("grand") != F.col("parent")).alias("moved")),
+                parent.select("node", "parent").join(up, "parent").select("node", F.col("grand").alias("parent"), (F.col("grand") != F.col("parent")).alias("moved")),
                 "jump",
             )
+            discard(before)
             if parent.where("moved").isEmpty():
                 break
-            parent = parent.drop("moved")
         parent = parent.drop("moved")
         if labels is None:
             labels = parent.select("node", F.col("parent").alias("component"))

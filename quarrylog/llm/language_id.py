@@ -10,12 +10,14 @@ fifth of the sample is set aside to fit the softmax temperature.
 Defined results: null text, or text without a letter, is ``und`` with score 0;
 rows with a null label or a null doc_id are never learned from; with nothing to
 learn from every row is ``und``; repeated rows are predicted each on their own;
-an empty table gives an empty result; other columns are ignored.
+of equally likely labels the first in order is predicted; an empty table gives an
+empty result; other columns of any type pass, but for ones named like the result's.
+More than ``max_labels`` labels are an error, as the model has a row for each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import Made, beside, materialize, others, table
 
 UNDETERMINED = "und"
 
@@ -33,6 +35,7 @@ class Settings:
     dims_log2: int = 15
     orders: tuple[int, ...] = (1, 2, 3)
     max_sample: int = 4000
+    max_labels: int = 1000
     epochs: int = 3
     alpha: float = 0.5
     beta: float = 1.0
@@ -149,13 +152,15 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     """``docs``: doc_id, text, lang. Only rows with a label are used."""
     s = settings
     usable = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL")
-    found = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n")).limit(s.max_labels + 1).collect()
+    if len(sizes) > s.max_labels:
+        raise ValueError(f"more than {s.max_labels} labels")
+    found = {r["lang"]: r["n"] for r in sizes}
     labels = tuple(sorted(found))
     quota = max(1, s.max_sample // max(1, len(labels)))
     # A hash of doc_id decides who is sampled, so the sample is the same on every run.
-    share = F.lit(0.0)
-    for lang in labels:
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, quota / found[lang]))).otherwise(share)
+    shares = F.create_map(*[F.lit(x) for lang in labels for x in (lang, min(1.0, quota / found[lang]))]) if labels else None
+    share = F.element_at(shares, F.col("lang")) if labels else F.lit(0.0)
     pos = F.xxhash64("doc_id", F.lit(17))
     marked = usable.select("text", "lang", pos.alias("pos"), (F.pmod(pos, F.lit(1 << 30)) < share * (1 << 30)).alias("sampled"))
     gathered = materialize(
@@ -182,10 +187,11 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
 
 
 def _predictor(model):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def factory() -> Callable[[pd.DataFrame], Iterator[Made]]:
         m: Model = model.value
         grams = Grams(m.settings)
-        for batch in batches:
+
+        def predicted(batch: pd.DataFrame) -> Iterator[Made]:
             langs, scores = [], []
             for text in batch["text"]:
                 counts = grams.counts(text) if m.labels else None
@@ -197,18 +203,17 @@ def _predictor(model):
                 p = _softmax((m.weights[:, index] @ _tfidf(index, counts[index], m.idf)) / m.temperature)
                 langs.append(m.labels[int(p.argmax())])
                 scores.append(float(p.max()))
-            out = batch.drop(columns="text")
-            yield out.assign(lang_pred=langs, score=scores)
+            yield range(len(langs)), {"lang_pred": langs, "score": scores}
 
-    return run
+        return predicted
+
+    return factory
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without its text column, with lang_pred and score."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # labels x dims: its size doesn't depend on the corpus
-    kept = [f for f in docs.schema.fields if f.name != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", lang_pred string, score double"
-    return docs.select(*[f.name for f in kept], "text").mapInPandas(_predictor(shipped), schema)
+    return beside(docs, _predictor(shipped), ["text"], "lang_pred string, score double", keeps=others(docs, "text", "lang_pred", "score"))
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -10,19 +10,21 @@ task, and the join back may split it.
 Defined results: lines are separated by line feeds; windows of blank lines only
 don't count; documents of fewer than three lines, empty or null texts are left
 as they are (null text: no line); rows with a null doc_id are left whole and
-not compared; rows that repeat a doc_id count as one document; an empty table
-gives an empty result; other columns are ignored.
+not compared; rows that repeat a doc_id count as one document, so a window that
+stands at one line of several of them is one occurrence and stays; an empty
+table gives an empty result; other columns of any type pass, but for ones named
+n_lines and n_removed, which the result's own replace.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import Made, beside, free_name, materialize, others, table
 
 WINDOW = 3
 
@@ -43,11 +45,8 @@ def windows(docs: DataFrame) -> DataFrame:
 
 def covered(all_windows: DataFrame) -> DataFrame:
     """(doc_id, spans): the line ranges [a, b) that later occurrences cover, per document."""
-    first = (
-        all_windows.groupBy("h1", "h2")
-        .agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"))
-        .where("n > 1")
-    )
+    first = all_windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = materialize(first, "first")  # read from a table, so that the join may split a window that stands everywhere
     same = F.col("doc_id") == F.col("first.doc_id")
     start = F.when(same, F.greatest("line", F.col("first.line") + WINDOW)).otherwise(F.col("line"))
     later = (
@@ -58,10 +57,10 @@ def covered(all_windows: DataFrame) -> DataFrame:
     return later.groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
 
 
-def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
+def _cut(tag: str) -> Callable[[pd.DataFrame], Iterator[Made]]:
+    def cut(batch: pd.DataFrame) -> Iterator[Made]:
         texts, counts, removed = [], [], []
-        for text, spans in zip(batch["text"], batch["spans"], strict=True):
+        for text, spans in zip(batch["text"], batch[tag], strict=True):
             lines = [] if text is None else text.split("\n")
             gone = set()
             for span in spans if spans is not None else ():
@@ -70,15 +69,19 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             texts.append(text if not gone else "\n".join(kept))
             counts.append(len(lines))
             removed.append(len(gone))
-        yield batch.drop(columns=["text", "spans"]).assign(text=texts, n_lines=counts, n_removed=removed)
+        yield range(len(texts)), {"text": texts, "n_lines": counts, "n_removed": removed}
+
+    return cut
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` with the text cut, and n_lines and n_removed."""
-    spans = covered(materialize(windows(docs.select("doc_id", "text")), "windows"))
-    rest = [f for f in docs.schema.fields if f.name != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", text string, n_lines long, n_removed long"
-    return docs.select(*[f.name for f in rest], "text").join(spans, "doc_id", "left").select(*[f.name for f in rest], "text", "spans").mapInPandas(_cut, schema)
+    rest, tag = others(docs, "text", "n_lines", "n_removed"), free_name("spans", docs)
+    spans = covered(materialize(windows(docs.select("doc_id", "text")), "windows")).withColumnRenamed("spans", tag)
+    # Rows without a doc_id don't meet in one task of the join.
+    joined = docs.where("doc_id IS NOT NULL").join(spans, "doc_id", "left").select(*rest, "text", tag)
+    without = docs.where("doc_id IS NULL").select(*rest, "text", F.lit(None).cast(spans.schema[tag].dataType).alias(tag))
+    return beside(joined.union(without), lambda: _cut(tag), ["text", tag], "text string, n_lines long, n_removed long", keeps=rest)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
