@@ -13,25 +13,25 @@ never gathered in one task.
 
 Defined results: null or empty text is a document of the end id only; an empty
 table packs into nothing; repeated rows are packed each on their own; a null
-doc_id is kept as it is; other columns are ignored. Strings that look like
-special tokens are ordinary text.
+doc_id is kept as it is; other columns are ignored. The string of a special
+token in a text is that token, as the vocabulary's own encoder has it.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, table
+from .common import Made, beside, materialize, table
 
 WINDOW = 2048
 END_ID = 1
-PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, part int, nth long"
+PIECES = "start long, length int, ids_crc32 long, doc_tokens long, part int, nth long"
 
 
 def vocabulary_path() -> str:
@@ -44,8 +44,9 @@ class ByteTokenizer:
     """Token ids of a byte-level BPE vocabulary file.
 
     Texts of Latin letters and common signs go through a faster engine over the
-    same ranks; the two agree there. Any other text takes the reference engine,
-    as the engines' Unicode tables may differ.
+    same ranks; the two agree there. Any other text, and one with the string of a
+    special token, takes the vocabulary's own encoder, as the engines' Unicode
+    tables may differ.
     """
 
     def __init__(self, path: str) -> None:
@@ -55,14 +56,13 @@ class ByteTokenizer:
         from tokenizers import Tokenizer
 
         self._full = Tokenizer.from_file(path)
-        self._full.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
         back = {c: b for b, c in self._alphabet().items()}
         vocabulary, special = model["vocab"], {t.content for t in self._full.get_added_tokens_decoder().values()}
         ranks = {bytes(back[c] for c in token): rank for token, rank in vocabulary.items() if token not in special}
         self._fast = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._odd = regex.compile(r"[^\x00-\x7e¡-ɏ‐-‧€]")
+        self._odd = regex.compile("|".join([r"[^\x00-\x7e¡-ɏ‐-‧€]", *map(regex.escape, sorted(special))]))
 
     @staticmethod
     def _alphabet() -> dict[int, str]:
@@ -78,32 +78,37 @@ class ByteTokenizer:
 
 
 def _pieces(window: int, path: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def factory() -> Callable[[pd.DataFrame], Iterator[Made]]:
         import zlib
 
         from pyspark import TaskContext
 
         tokenizer, part = ByteTokenizer(path), TaskContext.get().partitionId()
         seen: dict[int, int] = {}
-        for batch in slices(batches):
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+        names = [c.split()[0] for c in PIECES.split(", ")]
+
+        def cut(batch: pd.DataFrame) -> Iterator[Made]:
+            at, rows = [], []
+            for k, text in enumerate(batch["text"]):
                 ids = np.array([*tokenizer.ids(text or ""), END_ID], dtype="<u4")
                 for start in range(0, len(ids), window):
                     piece = ids[start : start + window]
                     n = len(piece)
-                    rows.append((doc_id, start, n, zlib.crc32(piece.tobytes()), len(ids), part, seen.get(n, 0)))
+                    at.append(k)
+                    rows.append((start, n, zlib.crc32(piece.tobytes()), len(ids), part, seen.get(n, 0)))
                     seen[n] = seen.get(n, 0) + 1
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "nth"])
-            yield out.astype({"doc_id": "Int64"})
+            if rows:
+                yield at, dict(zip(names, zip(*rows, strict=True), strict=True))
+
+        return cut
 
-    return run
+    return factory
 
 
 def pieces(docs: DataFrame, window: int = WINDOW, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Cut every document into pieces; ``nth`` counts the pieces of a length within a partition."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInPandas(_pieces(window, path or vocabulary_path()), PIECES)
+    return beside(source, _pieces(window, path or vocabulary_path()), ["text"], PIECES, keeps=["doc_id"])
 
 
 class _Capacities:
