@@ -11,9 +11,10 @@ bands; the number of bands is tuned so that a pair at the threshold collides
 with probability ``recall``. Paragraphs of one digest are one node. Each node
 of a band bucket is compared with the bucket's least, by the exact Jaccard
 similarity of the shingles; buckets that still hold two components are joined
-whole, pairs of different components only. Buckets that
-only one document fills are left out. A component is a class of paragraphs; it counts if it stands in more than one document; what only repeats
-within one document is left alone.
+whole, pairs of different components only. Buckets all of whose paragraphs stand in
+one and the same document are left out. A component is a class of paragraphs; it
+counts if it stands in more than one document; what only repeats within one
+document is left alone.
 
 Paragraphs are seeds of passages: each place of a class is aligned with the class's
 first place (of the smallest doc_id) and extended word by word to both sides, also
@@ -32,16 +33,18 @@ passages of 50 words or more with separate edits and a Jaccard similarity of at
 whatever the bands of their paragraphs do. A seed counts if the aligned passage has
 at least 2 * length words.
 
-Defined results: null and empty texts and texts shorter than a paragraph have
-none; rows with a null doc_id are left alone; rows that repeat a doc_id are one
-document; an empty table gives an empty result; other columns are ignored.
+Defined results: null and empty texts have no paragraph; a text of fewer words
+than a paragraph is one paragraph as a whole, so it is compared with other such
+texts; rows with a null doc_id are left alone; rows that repeat a doc_id are one
+document; the spans don't depend on the rows' order or partitions; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,7 +52,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, materialize, slices, table
+from .common import Made, beside, components, discard, free_name, materialize, others, slices, table
 from .shingles import WordHashes, mix, shingle_hashes, word_hashes
 
 LENGTH, SPACING, WIDTH, PERCENT, ROWS, RECALL = 24, 26, 5, 75, 3, 0.9
@@ -106,47 +109,71 @@ def _digests(windows: np.ndarray) -> np.ndarray:
         return mix((windows * mix(np.arange(1, windows.shape[1] + 1, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)).view(np.int64)
 
 
+SEEDS, PARAGRAPHS = 0, 1
+_FOUND = "doc_id long, start long, digest long, kind int, size int, bands array<long>, d_lo long, d_hi long"
+
+
+def _ranges(digest: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each distinct digest one position, and the least and largest of its ids."""
+    order = np.lexsort((ids, digest))
+    ordered = digest[order]
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    last = np.append(first[1:], len(order)) - 1
+    return order[first], ids[order[first]], ids[order[last]]
+
+
 def _paragraphs(length: int, spacing: int, width: int, signer: _Signer):
+    columns = [c.split()[0] for c in _FOUND.split(", ")]
+
+    def frame(kind: int, size: int, ids: list, starts: list, windows: list) -> pd.DataFrame:
+        w = np.concatenate(windows)
+        n = len(w)
+        digest, doc_ids = _digests(w), np.concatenate(ids)
+        bands, low, high = ([None] * n for _ in range(3))
+        if kind == PARAGRAPHS:
+            # One of a digest brings its band keys along, and the range of its documents in this batch.
+            at, d_lo, d_hi = _ranges(digest, doc_ids)
+            for k, keys, lo, hi in zip(at.tolist(), signer.keys(w[at]).view(np.int64), d_lo.tolist(), d_hi.tolist(), strict=True):
+                bands[k], low[k], high[k] = keys, lo, hi
+        made = (doc_ids, np.concatenate(starts), digest, kind, size, bands, pd.array(low, dtype="Int64"), pd.array(high, dtype="Int64"))
+        return pd.DataFrame(dict(zip(columns, made, strict=True)))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache, reach, short = WordHashes(), np.arange(length - width + 1), np.arange(SEED - width + 1)
         for batch in batches:
-            ids, starts, windows, seed_ids, seed_starts, seeds = [], [], [], [], [], []
+            parts: dict[tuple[int, int], tuple[list, list, list]] = {}
+
+            def add(kind: int, size: int, doc_id: int, at: np.ndarray, windows: np.ndarray) -> None:
+                for held, new in zip(parts.setdefault((kind, size), ([], [], [])), (np.full(len(at), doc_id), at, windows), strict=True):  # noqa: B023
+                    held.append(new)
+
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                s = shingle_hashes(word_hashes(text, cache), width)
+                words = word_hashes(text, cache)
+                s = shingle_hashes(words, width)
                 at = anchors(s, length, spacing, width)
                 if len(at):
-                    ids.append(np.full(len(at), doc_id))
-                    starts.append(at)
-                    windows.append(s[at[:, None] + reach])
+                    add(PARAGRAPHS, length, doc_id, at, s[at[:, None] + reach])
                     at = anchors(s, SEED, SEED_SPACING, width)
-                    seed_ids.append(np.full(len(at), doc_id))
-                    seed_starts.append(at)
-                    seeds.append(s[at[:, None] + short])
-            if not ids:
-                continue
-            w = np.concatenate(windows)
-            digest = _digests(w)
-            first = np.zeros(len(w), dtype=bool)  # one of a digest brings the band keys along
-            first[np.unique(digest, return_index=True)[1]] = True
-            keys = signer.keys(w).view(np.int64)
-            yield pd.DataFrame({"doc_id": np.concatenate(seed_ids), "start": np.concatenate(seed_starts), "digest": _digests(np.concatenate(seeds)), "bands": None, "size": SEED})
-            yield pd.DataFrame(
-                {"doc_id": np.concatenate(ids), "start": np.concatenate(starts), "digest": digest, "bands": [k if f else None for k, f in zip(keys, first, strict=True)], "size": length}
-            )
+                    add(SEEDS, SEED, doc_id, at, s[at[:, None] + short])
+                elif len(words):  # a short text is one paragraph
+                    add(PARAGRAPHS, len(words), doc_id, np.zeros(1, dtype=np.int64), s[None, :])
+            for (kind, size), held in parts.items():
+                yield frame(kind, size, *held)
 
     return run
 
 
-def _contents(length: int, width: int):
+def _contents(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, reach = WordHashes(), np.arange(length - width + 1)
+        cache = WordHashes()
         for batch in slices(batches):
             rows = []
             for text, wanted in zip(batch["text"], batch["wanted"], strict=True):
                 s = shingle_hashes(word_hashes(text, cache), width)
                 for w in wanted:
-                    if w["start"] + reach[-1] < len(s):
-                        x = np.unique(s[w["start"] + reach])
+                    window = s[w["start"] : w["start"] + max(1, w["size"] - width + 1)]
+                    if len(window) and _digests(window[None, :])[0] == w["digest"]:  # of rows that share a doc_id the right one
+                        x = np.unique(window)
                         ones = np.bincount((x & np.uint64(127)).astype(np.int64), minlength=128) & 1
                         rows.append((w["digest"], x.tobytes(), len(x), *np.packbits(ones.astype(np.uint8), bitorder="little").view(np.int64).tolist()))
             yield pd.DataFrame(rows, columns=["digest", "x", "n", "b0", "b1"])
@@ -167,12 +194,13 @@ def _verified(percent: int):
     return run
 
 
-def contents(digests: DataFrame, found: DataFrame, texts: DataFrame, length: int, width: int) -> DataFrame:
-    """Of each digest its sorted shingles, their number and a parity bitmap, from one place where it stands."""
-    where = found.join(digests, "digest").groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("at"))
-    wanted = where.select(F.col("at.doc_id").alias("doc_id"), F.struct(F.col("at.start").alias("start"), "digest").alias("w")).groupBy("doc_id").agg(F.collect_list("w").alias("wanted"))
+def contents(digests: DataFrame, found: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Of each digest its sorted shingles, their number and a parity bitmap, from the first place where it stands."""
+    # Aggregated before the join, so that no task gathers the places of a common paragraph.
+    where = found.groupBy("digest").agg(F.min(F.struct("doc_id", "start", "size")).alias("at")).join(digests, "digest", "left_semi")
+    wanted = where.select(F.col("at.doc_id").alias("doc_id"), F.struct(F.col("at.start").alias("start"), F.col("at.size").alias("size"), "digest").alias("w")).groupBy("doc_id").agg(F.collect_list("w").alias("wanted"))
     schema = "digest long, x binary, n int, b0 long, b1 long"
-    return materialize(texts.join(wanted, "doc_id").select("text", "wanted").mapInPandas(_contents(length, width), schema).dropDuplicates(["digest"]), "contents")
+    return materialize(texts.join(wanted, "doc_id").select("text", "wanted").mapInPandas(_contents(width), schema).dropDuplicates(["digest"]), "contents")
 
 
 def _links(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -190,18 +218,19 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, spacing: int = SPAC
     """
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     signer = _Signer(rows, tuned_bands(percent, rows, recall))
-    found = materialize(texts.mapInPandas(_paragraphs(length, spacing, width, signer), "doc_id long, start long, digest long, bands array<long>, size int"), "paragraphs")
+    found = materialize(texts.mapInPandas(_paragraphs(length, spacing, width, signer), _FOUND), "paragraphs")
 
-    # Band buckets with several digests from several documents. Copies of a paragraph bring their keys
-    # once per batch, so no key is hot through copies; overlapping paragraphs of one document don't count.
-    entries = found.where("bands IS NOT NULL").select(F.explode("bands").alias("key"), "digest", "doc_id")
+    # Band buckets with several digests from several documents. Copies of a paragraph bring their keys once per
+    # batch, with the range of all its documents there, so no key is hot through copies and the range of a bucket
+    # is that of all places of its paragraphs; overlapping paragraphs of one document don't count.
+    entries = found.where("bands IS NOT NULL").select(F.explode("bands").alias("key"), "digest", "d_lo", "d_hi")
     bucket = Window.partitionBy("key")
     low, high = F.min("digest").over(bucket).alias("lo"), F.max("digest").over(bucket).alias("hi")
-    seen = entries.select("key", "digest", low, high, F.min("doc_id").over(bucket).alias("d_lo"), F.max("doc_id").over(bucket).alias("d_hi"))
+    seen = entries.select("key", "digest", low, high, F.min("d_lo").over(bucket).alias("d_lo"), F.max("d_hi").over(bucket).alias("d_hi"))
     buckets = materialize(seen.where("lo < hi AND d_lo < d_hi").select("key", "digest", "lo").distinct(), "buckets")
     stars = buckets.where("digest <> lo").select(F.col("lo").alias("a"), F.col("digest").alias("b"))
-    where = found.where(F.col("size") == length).select("doc_id", "start", "digest")
-    known = contents(buckets.select("digest").distinct(), where, texts, length, width)
+    where = found.where(F.col("kind") == PARAGRAPHS).select("doc_id", "start", "digest", "size")
+    known = contents(buckets.select("digest").distinct(), where, texts, width)
     links = _links(stars, known, percent)
     named = buckets.join(components(links).withColumnRenamed("node", "digest"), "digest", "left").select("key", "digest", F.coalesce("component", "digest").alias("component"))
     left = named.groupBy("key").agg(F.min("component").alias("c_lo"), F.max("component").alias("c_hi")).where("c_lo < c_hi").select("key")
@@ -217,35 +246,39 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, spacing: int = SPAC
     more = x.join(y, (F.col("x_key") == F.col("y_key")) & (F.col("x_component") < F.col("y_component")) & room)
     links = links.union(_links(more.select(F.least("x_digest", "y_digest").alias("a"), F.greatest("x_digest", "y_digest").alias("b")), known, percent))
 
-    classed = where.join(components(links).withColumnRenamed("node", "digest"), "digest", "left").select("doc_id", "start", F.coalesce("component", "digest").alias("class"))
-    in_docs = classed.select("class", "doc_id").distinct()
-    firsts = classed.groupBy("class").agg(F.min(F.struct("doc_id", "start")).alias("at"))
-    counts = in_docs.groupBy("class").agg(F.count("*").alias("n_documents")).where("n_documents > 1")
-    classes = materialize(counts.join(firsts, "class").select("class", F.col("at.doc_id").alias("first"), F.col("at.start").alias("f_start"), "n_documents"), "classes")
-    hits = classed.join(classes, "class").select("doc_id", "start", F.lit(length).alias("size"), "first", "f_start", "n_documents")
-    spans = materialize(extended(hits.union(shared_seeds(found)), texts, width, percent, length), "spans")
+    classed = where.join(components(links).withColumnRenamed("node", "digest"), "digest", "left").select("doc_id", "start", "size", F.coalesce("component", "digest").alias("class"))
+    firsts = classed.groupBy("class").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.max("doc_id").alias("last")).where("at.doc_id < last")
+    places = materialize(_with_documents(classed.withColumnRenamed("class", "digest"), materialize(firsts.select(F.col("class").alias("digest"), "at"), "classes"), PARAGRAPHS), "places")
+    seeds = shared_seeds(found)
+    spans = materialize(extended(places.union(seeds), texts, width, percent, length), "spans")
+    discard(found, places, seeds)
     # Of a document: spans in order; one ends where the next one starts beyond its end.
     joined = spans.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end", "first", "n_documents"))).alias("hits"))
     return joined.mapInPandas(_merged, "doc_id long, start_word long, end_word long, component_id long, n_documents long, removed boolean")
 
 
+def _with_documents(places: DataFrame, firsts: DataFrame, kind: int) -> DataFrame:
+    """The places (doc_id, start, size, digest) of the digests of ``firsts`` (digest, at), a table, with their first place and number of documents."""
+    hits = materialize(places.join(firsts, "digest"), "hits")
+    counts = materialize(hits.select("digest", "doc_id").distinct().groupBy("digest").agg(F.count("*").alias("n_documents")), "counts")
+    return hits.join(counts, "digest").select("doc_id", "start", "size", F.col("at.doc_id").alias("first"), F.col("at.start").alias("f_start"), "n_documents", F.lit(kind).alias("kind"))
+
+
 def shared_seeds(found: DataFrame) -> DataFrame:
     """The places of short seeds that stand in several documents, with the first place of each."""
-    seeds = found.where(F.col("size") == SEED).select("doc_id", "start", "digest")
+    seeds = found.where(F.col("kind") == SEEDS).select("doc_id", "start", "size", "digest")
     firsts = seeds.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.max("doc_id").alias("last")).where("at.doc_id < last")
-    places = materialize(seeds.join(firsts.select("digest", "at"), "digest"), "seeds")
-    counts = places.select("digest", "doc_id").distinct().groupBy("digest").agg(F.count("*").alias("n_documents"))
-    return places.join(counts, "digest").select("doc_id", "start", F.lit(SEED).alias("size"), F.col("at.doc_id").alias("first"), F.col("at.start").alias("f_start"), "n_documents")
+    return materialize(_with_documents(seeds, materialize(firsts.select("digest", "at"), "firsts"), SEEDS), "seeds")
 
 
 def extended(hits: DataFrame, texts: DataFrame, width: int, percent: int, length: int) -> DataFrame:
-    """Passages around the places ``hits`` (doc_id, start, size, first, f_start, n_documents), in both documents: doc_id, start, end, first, n_documents."""
-    pairs = hits.where("doc_id <> first OR start <> f_start").groupBy("doc_id").agg(F.collect_set(F.struct("first", (F.col("start") - F.col("f_start")).alias("shift"), "start", "size", "n_documents")).alias("hits"))
+    """Passages around the places ``hits`` (doc_id, start, size, first, f_start, n_documents, kind), in both documents: doc_id, start, end, first, n_documents."""
+    pairs = hits.where("doc_id <> first OR start <> f_start").groupBy("doc_id").agg(F.collect_set(F.struct("first", (F.col("start") - F.col("f_start")).alias("shift"), "start", "size", "n_documents", "kind")).alias("hits"))
     chains = materialize(pairs.mapInPandas(_chained, "doc_id long, first long, f_from long, f_to long, seeds array<long>, n_documents long"), "chains")
     # The words of the first place travel to the document; a stretch is read once however many documents repeat it.
     stretches = chains.select("first", "f_from", "f_to").distinct()
     wanted = stretches.groupBy("first").agg(F.collect_list(F.struct("f_from", "f_to")).alias("wanted")).withColumnRenamed("first", "doc_id")
-    words = materialize(texts.join(wanted, "doc_id").mapInPandas(_stretches, "first long, f_from long, f_to long, words binary").dropDuplicates(["first", "f_from", "f_to"]), "stretches")
+    words = materialize(texts.join(wanted, "doc_id").mapInPandas(_stretches, "first long, f_from long, f_to long, words binary").groupBy("first", "f_from", "f_to").agg(F.min("words").alias("words")), "stretches")
     sides = chains.join(words, ["first", "f_from", "f_to"]).groupBy("doc_id").agg(F.collect_list(F.struct("first", "f_from", "seeds", "words", "n_documents")).alias("chains"))
     found = texts.join(sides, "doc_id").mapInPandas(_aligned(width, percent, length), "doc_id long, start long, end long, first long, n_documents long")
     return found.distinct()
@@ -257,13 +290,13 @@ def _chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for doc_id, hits in zip(batch["doc_id"], batch["hits"], strict=True):
             last = None
-            for h in sorted(hits, key=lambda h: (h["first"], h["shift"], h["start"], h["size"])):
+            for h in sorted(hits, key=lambda h: (h["first"], h["shift"], h["start"], h["size"], h["kind"])):
                 at, end = h["start"] - h["shift"], h["start"] - h["shift"] + h["size"]
                 if last and (last[0], last[1]) == (h["first"], h["shift"]) and at <= last[3] + REACH:
                     last[3], last[5] = max(last[3], end), max(last[5], h["n_documents"])
-                    last[4] += [h["start"], at, h["size"]]
+                    last[4] += [h["start"], at, h["size"], h["kind"]]
                 else:
-                    last = [h["first"], h["shift"], at, end, [h["start"], at, h["size"]], h["n_documents"]]
+                    last = [h["first"], h["shift"], at, end, [h["start"], at, h["size"], h["kind"]], h["n_documents"]]
                     rows.append((doc_id, last))
         out = [(doc_id, r[0], max(0, r[2] - REACH), r[3] + REACH, r[4], r[5]) for doc_id, r in rows]
         yield pd.DataFrame(out, columns=["doc_id", "first", "f_from", "f_to", "seeds", "n_documents"])
@@ -344,13 +377,13 @@ def _aligned(width: int, percent: int, length: int):
                 d = (word_hashes(text, cache) >> np.uint64(32)).astype("<u4")
                 for c in chains:
                     f, base, done = np.frombuffer(c["words"], "<u4"), c["f_from"], 0
-                    for start, at, size in np.asarray(c["seeds"], dtype=np.int64).reshape(-1, 3).tolist():
+                    for start, at, size, kind in np.asarray(c["seeds"], dtype=np.int64).reshape(-1, 4).tolist():
                         if start + size <= done:
                             continue  # inside the passage of the place before
                         # Of a long document only the words beside the chain.
                         cut = max(0, start - (at - base) - EDIT * REACH)
                         a, b, fa, fb = passage(d[cut : cut + len(f) + 2 * EDIT * REACH], f, start - cut, at - base, size, width, percent)
-                        if size < length and b - a < 2 * length:
+                        if kind == SEEDS and b - a < 2 * length:
                             continue
                         done = b + cut
                         rows.append((doc_id, a + cut, b + cut, c["first"], c["n_documents"]))
@@ -391,19 +424,21 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[at:]]).decode()
 
 
-def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        texts = [t if t is None or s is None else cut_words(t, [(x["a"], x["b"]) for x in s]) for t, s in zip(batch["text"], batch["spans"], strict=True)]
-        yield batch.drop(columns=["text", "spans"]).assign(text=texts)
+def _cut(tag: str) -> Callable[[pd.DataFrame], Iterator[Made]]:
+    def cut(batch: pd.DataFrame) -> Iterator[Made]:
+        texts = [t if t is None or s is None else cut_words(t, [(x["a"], x["b"]) for x in s]) for t, s in zip(batch["text"], batch[tag], strict=True)]
+        yield range(len(texts)), {"text": texts}
+
+    return cut
 
 
 def remove_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """``docs`` with the removed spans of ``repeated_passages`` cut out of their texts."""
-    spans = passages.where("removed").groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start_word").alias("a"), F.col("end_word").alias("b"))).alias("spans"))
-    rest = [f for f in docs.schema.fields if f.name != "text"]
-    names = [f.name for f in rest]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "text string"])
-    return docs.join(spans, "doc_id", "left").select(*names, "text", "spans").mapInPandas(_cut, schema)
+    """``docs`` with the removed spans of ``repeated_passages`` cut out of their texts; other columns of any type pass."""
+    tag, rest = free_name("spans", docs), others(docs, "text")
+    spans = passages.where("removed").groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start_word").alias("a"), F.col("end_word").alias("b"))).alias(tag))
+    joined = docs.where("doc_id IS NOT NULL").join(spans, "doc_id", "left").select(*rest, "text", tag)
+    without = docs.where("doc_id IS NULL").select(*rest, "text", F.lit(None).cast(spans.schema[tag].dataType).alias(tag))
+    return beside(joined.union(without), lambda: _cut(tag), ["text", tag], "text string", keeps=rest)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
