@@ -1,13 +1,15 @@
 """Exact dedup as a tree merge of sorted digest runs.
 
-Each input partition starts as one run: its distinct (digest, length) keys
-with the smallest identifier and a count. In every round groups of ``fan_in``
-runs exchange their entries by digest and merge, keeping the smallest
-identifier, until one run is left. An entry moves only as a fixed-size record,
-merging happens before as well as after each exchange, and the last run is
-spread over all partitions by digest, so a group of copies of any size costs
-one record per run and no task ever gathers it. An entry is matched on SHA-256
-and verified by the byte length of the text.
+Each input partition starts as one run: its distinct keys in order, with the
+smallest identifier and a count. In round k the runs of ``fan_in`` neighbours of
+round k - 1 exchange their entries and are merged, multiway, into one, keeping
+the smallest identifier, until one run is left: ceil(log(partitions)) rounds.
+An entry moves only as a fixed-size record, equal ones are merged before as well
+as after each exchange, and a run is spread over the partitions by digest, so a
+group of copies of any size costs one record per run and no task gathers it or a
+run. A key is the SHA-256 of the text, verified at every level by the byte
+length and an independent 64-bit hash of the text. The rows then look up their
+key; both sides of that join are tables, so that a key of very many rows splits.
 
 Defined results: null text counts as empty; white space runs become one space
 but are not trimmed; among rows of one text the smallest doc_id stays, a null
@@ -17,14 +19,13 @@ stays; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-FAN_IN = 32
+FAN_IN = 4
+KEY = ("digest", "check", "bytes")
 
 
 def normalised(text: str = "text"):
@@ -37,36 +38,40 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return clean.select(
         "doc_id",
         F.unhex(F.sha2("t", 256)).alias("digest"),
+        F.xxhash64("t").alias("check"),
         F.octet_length("t").cast("long").alias("bytes"),
         F.spark_partition_id().alias("run"),
         F.monotonically_increasing_id().alias("tag"),
     )
 
 
+def rounds(runs: int, fan_in: int = FAN_IN) -> int:
+    """How often ``runs`` runs are merged until one is left; a single run is merged with itself once."""
+    n = 1
+    while fan_in**n < runs:
+        n += 1
+    return n
+
+
 def tree_merge(entries: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
-    """Merge the sorted runs of ``entries`` into one: (digest, bytes, head, group_size).
+    """Merge the sorted runs of ``entries`` into one: the key, ``head`` and ``group_size``.
 
     ``head`` is the smallest (doc_id, tag) of the key, a null doc_id last. Taking
     the least struct makes Spark merge runs sorted by key on both sides of the exchange.
     """
-    runs = entries.agg(F.max("run")).first()[0]
-    levels = max(1, math.ceil(math.log((runs or 0) + 1, fan_in) - 1e-9))
-    merged = entries.select(
-        "digest", "bytes", "run", F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "tag").alias("head"), F.lit(1).cast("long").alias("n")
-    )
-    for _ in range(levels):
-        merged = (
-            merged.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
-            .groupBy("digest", "bytes", "run")
-            .agg(F.min("head").alias("head"), F.sum("n").alias("n"))
-        )
-    return merged.select("digest", "bytes", "head", F.col("n").alias("group_size"))
+    last = entries.agg(F.max("run")).first()[0]
+    head = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "tag").alias("head")
+    merged = entries.select(*KEY, "run", head, F.lit(1).cast("long").alias("n"))
+    for _ in range(rounds((last or 0) + 1, fan_in)):
+        merged = merged.withColumn("run", F.floor(F.col("run") / fan_in).cast("int")).groupBy(*KEY, "run").agg(F.min("head").alias("head"), F.sum("n").alias("n"))
+    return merged.select(*KEY, "head", F.col("n").alias("group_size"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = FAN_IN) -> DataFrame:
     """Every row with its survivor: doc_id, keep_id, group_size, kept, text_sha256."""
     entries = materialize(digests(docs, id_col, text_col), "digests")
-    return entries.join(tree_merge(entries, fan_in), ["digest", "bytes"]).select(
+    merged = materialize(tree_merge(entries, fan_in), "merged")
+    return entries.join(merged, list(KEY)).select(
         "doc_id",
         F.col("head.doc_id").alias("keep_id"),
         "group_size",
