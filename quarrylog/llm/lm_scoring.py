@@ -3,14 +3,18 @@
 Every token is predicted from the two tokens on either side: the embeddings of
 the four, one table per side and distance, are added and passed through a tanh
 layer; a two-level softmax gives the token's class and its place in the class.
-The vocabulary is the most frequent words of the whole corpus, the rest hashed
-into a few shared entries; a third level is the word's share of its entry, from
-its count over all documents, so the probabilities of all words add up to one. The network is trained in numpy, data-parallel: each
-partition starts from the current weights, learns from every document it holds
-(every position is a target; a larger ``stride`` takes one in so many) and
-its weights are averaged, by the tokens learned from, over the partitions. The
-score of a document is the sum of the conditional log-probabilities of all its
-tokens.
+The vocabulary holds the most frequent words of the whole corpus and grows with
+it: at least ``classes`` ** 2 entries, and every word that occurs ``least_count``
+times, up to ``most_classes`` ** 2, which bounds what is sent to a task. The rest
+is hashed into a few shared entries; a third level is the word's share of its
+entry, from its count over all documents, so every word has a probability of its
+own and those of all words add up to one. The network is trained in numpy,
+data-parallel: each partition starts from the current weights, learns from every
+document it holds (every position is a target; a larger ``stride`` takes one in
+so many) and its weights are averaged, by the tokens learned from, over the
+partitions; so scores depend a little on how the rows are dealt to partitions.
+The score of a document is the sum of the conditional log-probabilities of all
+its tokens.
 
 Defined results: words are the runs of bytes other than ASCII white space, A-Z
 lower-cased; null and empty texts have no token, score 0 and a null mean;
@@ -21,8 +25,9 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -30,19 +35,21 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import Made, beside, discard, materialize, table
 
 
 @dataclass(frozen=True)
 class Settings:
-    classes: int = 32  # vocabulary: classes * classes entries
-    shared: int = 64  # of these, for words outside the list
+    classes: int = 32  # vocabulary: classes * classes entries at least
+    most_classes: int = 256  # as many squared at most
+    least_count: int = 2000  # a word of so many occurrences gets an entry while there is room
+    shared: int = 64  # entries for words outside the list
     dims: int = 24
     reach: int = 2
     stride: int = 1  # 1: every position is a training target
-    rounds: int = 2
+    rounds: int = 1
     rate: float = 0.5
-    batch: int = 1024
+    batch: int = 512
 
     @property
     def size(self) -> int:
@@ -85,9 +92,17 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def vocabulary(texts: DataFrame, s: Settings) -> list[bytes]:
     """The most frequent words of all texts, by count and then by bytes."""
-    counts = texts.mapInPandas(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(s.size - s.shared).collect()
-    return [bytes(r["word"]) for r in top]
+    counts = materialize(texts.mapInPandas(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    frequent = counts.where(F.col("n") >= s.least_count).count()
+    room = min(max(frequent, s.size - s.shared), max(s.classes, s.most_classes) ** 2 - s.shared)
+    top = [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(room).collect()]  # at most most_classes ** 2
+    discard(counts)
+    return top
+
+
+def grown(s: Settings, words: list[bytes]) -> Settings:
+    """Settings whose vocabulary has room for ``words``."""
+    return replace(s, classes=max(s.classes, math.isqrt(max(0, len(words) + s.shared - 1)) + 1))
 
 
 def initial(s: Settings) -> dict[str, np.ndarray]:
@@ -166,21 +181,23 @@ def _pack(w: dict) -> list[bytes]:
 
 
 def _encode(shipped, s: Settings):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def factory() -> Callable[[pd.DataFrame], Iterator[Made]]:
         vocab = Vocabulary(shipped.value, s)
-        for batch in batches:
+
+        def run(batch: pd.DataFrame) -> Iterator[Made]:
             codes = [vocab.codes(text) for text in batch["text"]]
-            ids = [vocab.ids(c).astype("<u2").tobytes() for c in codes]
             rare = [np.unique(c[c < 0], return_counts=True) for c in codes]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids, "rare": [r for r, _ in rare], "times": [n for _, n in rare]}).astype({"doc_id": "Int64"})
+            yield range(len(codes)), {"ids": [vocab.ids(c).astype("<u2").tobytes() for c in codes], "rare": [r for r, _ in rare], "times": [n for _, n in rare]}
 
-    return run
+        return run
+
+    return factory
 
 
 def encode(docs: DataFrame, words: list[bytes], s: Settings) -> DataFrame:
     """(doc_id, ids, rare, times): every whole text as entries of the vocabulary, its words outside the list by hash."""
     shipped = docs.sparkSession.sparkContext.broadcast(words)  # fewer words than the vocabulary has entries
-    return docs.mapInPandas(_encode(shipped, s), "doc_id long, ids binary, rare array<long>, times array<long>")
+    return beside(docs, _encode(shipped, s), ["text"], "ids binary, rare array<long>, times array<long>", keeps=["doc_id"])
 
 
 def rare_shares(encoded: DataFrame, s: Settings) -> DataFrame:
@@ -244,24 +261,25 @@ def _average_some(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _score(shipped, s: Settings):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            counts, scores = [], []
-            for raw in batch["ids"]:
-                ids = np.frombuffer(raw, dtype="<u2").astype(np.int32)
-                counts.append(len(ids))
-                scores.append(log_likelihood(shipped.value, ids, s) if len(ids) else 0.0)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "tag": batch["tag"], "n_tokens": counts, "score": scores}).astype({"doc_id": "Int64"})
+    def run(batch: pd.DataFrame) -> Iterator[Made]:
+        counts, scores = [], []
+        for raw in batch["ids"]:
+            ids = np.frombuffer(raw, dtype="<u2").astype(np.int32)
+            counts.append(len(ids))
+            scores.append(log_likelihood(shipped.value, ids, s) if len(ids) else 0.0)
+        yield range(len(counts)), {"n_tokens": counts, "score": scores}
 
-    return run
+    return lambda: run
 
 
 def score(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """``docs``: doc_id, text. One row each: doc_id, n_tokens, score, mean_score."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    encoded = materialize(encode(source, vocabulary(source.select("text"), s), s).withColumn("tag", F.monotonically_increasing_id()), "ids")
+    words = vocabulary(source.select("text"), s)
+    s = grown(s, words)
+    encoded = materialize(encode(source, words, s).withColumn("tag", F.monotonically_increasing_id()), "ids")
     shipped = docs.sparkSession.sparkContext.broadcast(fit(encoded, s))
-    known = encoded.select("doc_id", "tag", "ids").mapInPandas(_score(shipped, s), "doc_id long, tag long, n_tokens long, score double")
+    known = beside(encoded, _score(shipped, s), ["ids"], "n_tokens long, score double", keeps=["doc_id", "tag"])
     scored = known.join(rare_shares(encoded, s), "tag", "left").select("doc_id", "n_tokens", (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"))
     return scored.withColumn("mean_score", F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")))
 
