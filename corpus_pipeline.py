@@ -3,12 +3,19 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before
 kept; ``docs`` has the columns of documents. The caller writes every stage's
 result as Parquet and reads it again.
+
+Defined results: an empty table passes every stage as an empty table; null and
+empty texts have no language and go in the first stage; rows without a doc_id
+are kept by the second and third stage, as they can't be told apart; of rows that
+share a doc_id the third stage keeps one, that of the least text; other columns
+than those of documents are dropped. What ties do is told in the operators.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarrylog.llm import language_id, line_dedup, mixing, ngram_join, packing
 from quarrylog.llm.common import materialize, table
@@ -35,15 +42,21 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays."""
+    """Of each group of linked documents the one with the smallest doc_id stays, and of rows that share a doc_id one."""
+    docs = docs.select(*COLUMNS)
     groups = ngram_join.jaccard_join(docs.select("doc_id", "text"))
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    gone = materialize(groups.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    left = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    # Few rows share a doc_id: only these are ordered.
+    repeated = materialize(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    order = Window.partitionBy("doc_id").orderBy(*COLUMNS[1:])
+    one = left.join(repeated, "doc_id", "left_semi").withColumn("nth", F.row_number().over(order)).where("nth = 1")
+    return left.join(repeated, "doc_id", "left_anti").select(*COLUMNS).union(one.select(*COLUMNS))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are sampled by calibrated probabilities towards the target shares."""
-    return mixing.sample(docs.select(*COLUMNS))
+    return mixing.sample(docs.select(*COLUMNS), mixing.TARGETS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
