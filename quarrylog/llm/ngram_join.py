@@ -25,7 +25,9 @@ Documents are sets of distinct word shingles (see ``shingles``); two link when
   do, those of the part and those of the whole sets: of two sets, the bits in
   which the bitmaps differ are at most the shingles in which the sets differ,
   which bounds the overlap from above. Links inside a component can't change a
-  component.
+  component. A pair counts in one tile of a part only, that of its first common
+  prefix shingle, and not in a band that is neither's own; so a pair that shares
+  a hundred tiles is one candidate a part.
 * Candidates meet wider bitmaps (as many bits as the size needs) and then the
   exact intersection of the sorted shingle arrays of the whole texts.
 
@@ -47,13 +49,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, materialize, slices, table
+from .common import Made, beside, components, discard, materialize, slices, table
 from .shingles import WordHashes, mix, shingle_hashes, shingle_set, word_hashes
 
 PERCENT, WIDTH = 75, 5
 _COUNTERS_LOG2 = 16
 _LEAST_BITS, _MOST_BITS = 512, 1 << 16
-_SET_SCHEMA = "doc_id long, n int, digest binary, sig binary, whole array<long>, bits array<long>, sizes array<int>, tokens array<long>, salts array<int>, slots array<int>"
+_SET_SCHEMA = "n int, own int, digest binary, sig binary, whole array<long>, bits array<long>, sizes array<int>, tokens array<long>, salts array<int>, slots array<int>"
 #: The smallest size of band 1, the ratio of one band's sizes to the next one's, and the bits of a part's bitmap.
 _BAND_FROM, _BAND_RATIO, _PART_BITS = 128, 4, 128
 #: Tiles of so many rows are first dealt into splits of about so many, where each row meets so many neighbours.
@@ -130,34 +132,40 @@ def _parts(x: np.ndarray, level: np.ndarray, band: int, percent: int) -> tuple[n
 def _sets(shipped, width: int, percent: int):
     names = [c.split()[0] for c in _SET_SCHEMA.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def factory():
         cache, (level, splits) = WordHashes(), shipped.value
-        for batch in slices(batches):
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                x = shingle_set(word_hashes(text, cache), width)
-                n = len(x)
-                if not n:
-                    rows.append((doc_id, 0, None, None, [], [], [], [], [], []))
-                    continue
-                digest, bucket = xxhash.xxh3_128_digest(x.tobytes()), _bucket(x)
-                of_digest, rank = int.from_bytes(digest[:7], "little"), level[bucket]
-                tokens, salts, slots, sizes, bits, base = [], [], [], [], [], 0
-                for band in bands(n, percent):
-                    prefix, part, m, b = _parts(x, rank, band, percent)
-                    split = splits[bucket[prefix]]
-                    tokens.append(mix(x[prefix] ^ np.uint64(band * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)).view(np.int64))
-                    salts.append(np.where(split > 1, of_digest % split, -1).astype(np.int32))
-                    slots.append((part + base).astype(np.int32))
-                    sizes.append(m.astype(np.int32))
-                    bits.append(b)
-                    base += len(m)
-                sig = parity_bitmap(x)
-                whole = fold(sig, _LEAST_BITS // 8).view(np.int64)
-                rows.append((doc_id, n, digest, sig.tobytes(), whole, *map(np.concatenate, (bits, sizes, tokens, salts, slots))))
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
-    return run
+        def describe(text: bytes | None) -> tuple:
+            x = shingle_set(word_hashes(text, cache), width)
+            n = len(x)
+            if not n:
+                return 0, 0, None, None, [], [], [], [], [], []
+            digest, bucket = xxhash.xxh3_128_digest(x.tobytes()), _bucket(x)
+            of_digest, rank = int.from_bytes(digest[:7], "little"), level[bucket]
+            tokens, salts, slots, sizes, bits, base, own = [], [], [], [], [], 0, 0
+            for band in bands(n, percent):
+                prefix, part, m, b = _parts(x, rank, band, percent)
+                split = splits[bucket[prefix]]
+                tokens.append(mix(x[prefix] ^ np.uint64(band * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)).view(np.int64))
+                salts.append(np.where(split > 1, of_digest % split, -1).astype(np.int32))
+                slots.append((part + base).astype(np.int32))
+                sizes.append(m.astype(np.int32))
+                bits.append(b)
+                base += len(m)
+                own = own or base
+            sig = parity_bitmap(x)
+            whole = fold(sig, _LEAST_BITS // 8).view(np.int64)
+            return n, own, digest, sig.tobytes(), whole, *map(np.concatenate, (bits, sizes, tokens, salts, slots))
+
+        def run(frame: pd.DataFrame) -> Iterator[Made]:
+            texts = frame["text"].tolist()
+            for start in range(0, len(texts), 1000):
+                rows = [describe(t) for t in texts[start : start + 1000]]
+                yield range(start, start + len(rows)), dict(zip(names, zip(*rows, strict=True), strict=True))
+
+        return run
+
+    return factory
 
 
 def _by_bitmap(percent: int):
@@ -205,7 +213,9 @@ class _Verifier:
         needed = left.select(F.col("a").alias("doc_id")).union(left.select("b")).distinct()
         arrays = materialize(self.texts.join(needed, "doc_id", "left_semi").mapInPandas(_arrays(self.width), "doc_id long, x binary"), "arrays")
         on = lambda k: arrays.select(F.col("doc_id").alias(k), F.col("x").alias(f"x{k}"))
-        return materialize(left.join(on("a"), "a").join(on("b"), "b").mapInPandas(_by_intersection(self.percent), "a long, b long").distinct(), "links")
+        links = materialize(left.join(on("a"), "a").join(on("b"), "b").mapInPandas(_by_intersection(self.percent), "a long, b long").distinct(), "links")
+        discard(left, arrays)
+        return links
 
 
 def _sizes_fit(x: Column | str, y: Column | str, percent: int) -> Column:
@@ -227,8 +237,8 @@ def _room(x: Callable[[str], Column], y: Callable[[str], Column], percent: int)
 
 def _few_of_tile(tiles: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of documents that a hash deals next to each other in a split of their tile; linear in its rows."""
-    columns = [c for c in tiles.columns if c not in ("token", "size")]
-    dealt = tiles.withColumn("place", F.xxhash64("token", "doc_id")).withColumn("split", F.pmod("place", F.ceil(F.col("size") / _SPLIT_ROWS)))
+    columns = [c for c in tiles.columns if c not in ("token", "size", "guest", "earlier")]
+    dealt = tiles.select("token", "size", *columns).withColumn("place", F.xxhash64("token", "doc_id")).withColumn("split", F.pmod("place", F.ceil(F.col("size") / _SPLIT_ROWS)))
     order = Window.partitionBy("token", "split").orderBy("place", "doc_id")
     others = F.array(*[F.lag(F.struct(*columns), k).over(order) for k in range(1, _NEIGHBOURS + 1)])
     fits = lambda p: p.isNotNull() & (p["component"] != F.col("component")) & _room(F.col, lambda c: p[c], percent)
@@ -241,17 +251,18 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     levels = spark.sparkContext.broadcast(frequency_levels(texts.select("text"), width))  # two tables of 65,536 numbers
-    sets = materialize(texts.mapInPandas(_sets(levels, width, percent), _SET_SCHEMA), "sets")
+    sets = materialize(beside(texts, _sets(levels, width, percent), ["text"], _SET_SCHEMA, keeps=["doc_id"]), "sets")
     verify = _Verifier(texts.where("doc_id IS NOT NULL"), sets, width, percent)
 
     reps = materialize(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")), "reps")
-    heads = sets.select("doc_id", "n", "digest", "tokens", "salts", "slots").join(reps.select("digest", F.col("rep").alias("doc_id")), ["doc_id", "digest"])
-    entries = heads.select("doc_id", "n", F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("salts").alias("salt"), F.col("slots").alias("slot"))))
+    heads = sets.select("doc_id", "n", "own", "digest", "tokens", "salts", "slots").join(reps.select("digest", F.col("rep").alias("doc_id")), ["doc_id", "digest"])
+    entries = heads.select("doc_id", "n", "own", F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("salts").alias("salt"), F.col("slots").alias("slot"))))
+    entries = entries.withColumn("guest", F.col("slot") >= F.col("own")).drop("own")
     split = Window.partitionBy("token", "salt")
     tiles = materialize(
         entries.select(
-            "token", "salt", "doc_id", "n", "slot", F.min(F.struct("doc_id", "n")).over(split).alias("first"), F.count("*").over(split).alias("size")
-        ).where("size > 1 OR salt >= 0").drop("size"),
+            "token", "salt", "doc_id", "n", "slot", "guest", F.min(F.struct("doc_id", "n")).over(split).alias("first"), F.count("*").over(split).alias("size"), F.min("guest").over(split).alias("guests")
+        ).where("(size > 1 AND NOT guests) OR salt >= 0").drop("size", "guests"),
         "tiles",
     )
 
@@ -263,19 +274,22 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     links = verify(stars.select(F.col("first.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct())
     linked = components(links)
 
-    # Tiles with more than one component left.
-    named = tiles.select("token", "doc_id", "n", "slot").join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    named = named.select("token", "doc_id", "n", "slot", F.coalesce("component", "doc_id").alias("component"))
-    mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-    parts = sets.where("n > 0").select("doc_id", "n", "digest", "whole", "sizes", "bits").dropDuplicates(["doc_id", "digest"])
-    slot = F.col("slot")
+    # Tiles with more than one component left, and a document whose own band it is.
+    named = tiles.select("token", "doc_id", "n", "slot", "guest").join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    named = named.select("token", "doc_id", "n", "slot", "guest", F.coalesce("component", "doc_id").alias("component"))
+    mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.min("guest").alias("guests"))
+    parts = sets.where("n > 0").select("doc_id", "n", "digest", "whole", "sizes", "bits", "tokens", "slots").dropDuplicates(["doc_id", "digest"])
+    slot, from_ = F.col("slot"), F.array_position("slots", F.col("slot"))
     open_tiles = materialize(
-        named.join(mixed.select("token", "size"), "token").join(parts, ["doc_id", "n"]).select(
-            "token", "size", "doc_id", "component", "n", F.get("sizes", slot).alias("m"), F.get("bits", 2 * slot).alias("b0"), F.get("bits", 2 * slot + 1).alias("b1"),
+        named.join(mixed.where("lo < hi AND NOT guests").select("token", "size"), "token").join(parts, ["doc_id", "n"]).select(
+            "token", "size", "doc_id", "component", "n", "guest", F.get("sizes", slot).alias("m"), F.get("bits", 2 * slot).alias("b0"), F.get("bits", 2 * slot + 1).alias("b1"),
             *[F.get("whole", F.lit(k)).alias(f"w{k}") for k in range(_LEAST_BITS // 64)],
+            # The prefix shingles of the part that come before this one, in the one order of all.
+            F.slice("tokens", from_.cast("int"), (F.array_position("tokens", F.col("token")) - from_).cast("int")).alias("earlier"),
         ),
         "mixed",
     )
+    discard(tiles)
 
     # Large tiles: each document with a few others of its tile, as dealt by a hash, before all are joined.
     dealt = verify(_few_of_tile(open_tiles.where(F.col("size") >= _LARGE_TILE), percent).distinct())
@@ -289,9 +303,11 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     )
     candidates = x.join(
         y,
-        (F.col("x_token") == F.col("y_token")) & (F.col("x_component") < F.col("y_component")) & _room(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}"), percent),
+        (F.col("x_token") == F.col("y_token")) & (F.col("x_component") < F.col("y_component")) & ~(F.col("x_guest") & F.col("y_guest"))
+        & _room(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}"), percent) & ~F.arrays_overlap("x_earlier", "y_earlier"),
     ).select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b"))
     more = verify(candidates.distinct())
+    discard(open_tiles)
     final = components(links.union(more))
 
     classes = materialize(
