@@ -26,8 +26,8 @@ Documents are sets of distinct word shingles (see ``shingles``); two link when
   which the bitmaps differ are at most the shingles in which the sets differ,
   which bounds the overlap from above. Links inside a component can't change a
   component. A pair counts in one tile of a part only, that of its first common
-  prefix shingle, and not in a band that is neither's own; so a pair that shares
-  a hundred tiles is one candidate a part.
+  prefix shingle (and in small tiles), and not in a band that is neither's own;
+  so a pair that shares a hundred tiles is about one candidate a part.
 * Candidates meet wider bitmaps (as many bits as the size needs) and then the
   exact intersection of the sorted shingle arrays of the whole texts.
 
@@ -60,6 +60,8 @@ _SET_SCHEMA = "n int, own int, digest binary, sig binary, whole array<long>, bit
 _BAND_FROM, _BAND_RATIO, _PART_BITS = 128, 4, 128
 #: Tiles of so many rows are first dealt into splits of about so many, where each row meets so many neighbours.
 _LARGE_TILE, _SPLIT_ROWS, _NEIGHBOURS = 16, 64, 4
+#: Tiles of fewer rows don't keep out pairs that another tile of the part has: they have few.
+_SMALL_TILE = 8
 
 
 def _bucket(shingles: np.ndarray) -> np.ndarray:
@@ -284,8 +286,8 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
         named.join(mixed.where("lo < hi AND NOT guests").select("token", "size"), "token").join(parts, ["doc_id", "n"]).select(
             "token", "size", "doc_id", "component", "n", "guest", F.get("sizes", slot).alias("m"), F.get("bits", 2 * slot).alias("b0"), F.get("bits", 2 * slot + 1).alias("b1"),
             *[F.get("whole", F.lit(k)).alias(f"w{k}") for k in range(_LEAST_BITS // 64)],
-            # The prefix shingles of the part that come before this one, in the one order of all.
-            F.slice("tokens", from_.cast("int"), (F.array_position("tokens", F.col("token")) - from_).cast("int")).alias("earlier"),
+            # The prefix shingles of the part that come before this one, in the one order of all. In a small tile a pair may count again.
+            F.when(F.col("size") >= _SMALL_TILE, F.slice("tokens", from_.cast("int"), (F.array_position("tokens", F.col("token")) - from_).cast("int"))).alias("earlier"),
         ),
         "mixed",
     )
@@ -304,7 +306,7 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     candidates = x.join(
         y,
         (F.col("x_token") == F.col("y_token")) & (F.col("x_component") < F.col("y_component")) & ~(F.col("x_guest") & F.col("y_guest"))
-        & _room(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}"), percent) & ~F.arrays_overlap("x_earlier", "y_earlier"),
+        & _room(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}"), percent) & ~F.coalesce(F.arrays_overlap("x_earlier", "y_earlier"), F.lit(False)),
     ).select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b"))
     more = verify(candidates.distinct())
     discard(open_tiles)
