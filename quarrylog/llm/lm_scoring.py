@@ -42,20 +42,25 @@ from .common import Made, beside, discard, materialize, table
 class Settings:
     classes: int = 32  # vocabulary: classes * classes entries at least
     most_classes: int = 256  # as many squared at most
-    least_count: int = 2000  # a word of so many occurrences gets an entry while there is room
+    least_count: int = 4000  # a word of so many occurrences gets an entry while there is room
     shared: int = 64  # entries for words outside the list
     dims: int = 24
     reach: int = 2
     stride: int = 1  # 1: every position is a training target
     rounds: int = 1
     rate: float = 0.5
-    batch: int = 512
+    batch: int = 1024
 
     @property
     def size(self) -> int:
         return self.classes * self.classes
 
 
+def outside(word: bytes) -> int:
+    """The code of a word that isn't in the list."""
+    return -1 - (xxhash.xxh3_64_intdigest(word) >> 1)
+
+
 class Vocabulary(dict):
     """Word -> entry; words outside the list share the last entries by hash."""
 
@@ -67,7 +72,7 @@ class Vocabulary(dict):
         if len(self) > 500_000:
             for key in list(self)[self.known :]:
                 del self[key]
-        value = self[word] = -1 - (xxhash.xxh3_64_intdigest(word) >> 1)
+        value = self[word] = outside(word)
         return value
 
     def codes(self, text: bytes | None) -> np.ndarray:
@@ -79,25 +84,38 @@ class Vocabulary(dict):
         return np.where(codes < 0, self.first + (-1 - codes) % self.shared, codes)
 
 
+_MOST_WORDS = 300_000  # words that a task holds before it hands them on
+
+
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from collections import Counter
 
+    seen: Counter = Counter()
+
+    def counted() -> pd.DataFrame:
+        return pd.DataFrame({"word": list(seen), "code": [outside(w) for w in seen], "n": list(seen.values())})
+
     for batch in batches:
-        seen: Counter = Counter()
         for text in batch["text"]:
             if text:
                 seen.update(text.lower().split())
-        yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+        if len(seen) > _MOST_WORDS:
+            yield counted()
+            seen.clear()
+    yield counted()
+
 
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, code, n) of every word of all texts; ``code`` is that of a word outside the list."""
+    return materialize(texts.mapInPandas(_count_words, "word binary, code long, n long").groupBy("word", "code").agg(F.sum("n").alias("n")), "words")
 
-def vocabulary(texts: DataFrame, s: Settings) -> list[bytes]:
+
+def vocabulary(texts: DataFrame, s: Settings, counts: DataFrame | None = None) -> list[bytes]:
     """The most frequent words of all texts, by count and then by bytes."""
-    counts = materialize(texts.mapInPandas(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    counts = word_counts(texts) if counts is None else counts
     frequent = counts.where(F.col("n") >= s.least_count).count()
     room = min(max(frequent, s.size - s.shared), max(s.classes, s.most_classes) ** 2 - s.shared)
-    top = [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(room).collect()]  # at most most_classes ** 2
-    discard(counts)
-    return top
+    return [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(room).collect()]  # at most most_classes ** 2
 
 
 def grown(s: Settings, words: list[bytes]) -> Settings:
@@ -121,55 +139,82 @@ def _context(ids: np.ndarray, at: np.ndarray, s: Settings) -> np.ndarray:
     return np.stack([padded[at + s.reach + o] for o in offsets])
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _hidden(w: dict, context: np.ndarray) -> np.ndarray:
+    total = w["emb"][0].take(context[0], axis=0)
+    total += w["bias"]
+    for k in range(1, len(context)):
+        total += w["emb"][k].take(context[k], axis=0)
+    return np.tanh(total, out=total)
 
 
-def _forward(w: dict, context: np.ndarray, target: np.ndarray, s: Settings):
-    total = w["emb"][0][context[0]] + w["bias"]
-    for k in range(1, len(context)):
-        total += w["emb"][k][context[k]]
-    hidden = np.tanh(total, out=total)
-    major, minor = target // s.classes, target % s.classes
-    log_major = _log_softmax(hidden @ w["major"] + w["major_bias"])
-    log_minor = _log_softmax(hidden @ w["minor"] + w["minor_bias"][major])
-    return hidden, major, minor, log_major, log_minor
+def _logits(w: dict, hidden: np.ndarray, major: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    a, b = hidden @ w["major"], hidden @ w["minor"]
+    a += w["major_bias"]
+    b += w["minor_bias"].take(major, axis=0)
+    return a, b
+
+
+def _exponents(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | np.float32]:
+    """exp(x - top) and its sums by row; ``top`` is the largest of all, or of each row if that leaves a row too small."""
+    top = x.max()
+    e = np.exp(x - top)
+    total = e @ np.ones(x.shape[1], np.float32)
+    if total.min() < 1e-25:
+        top = x.max(axis=1, keepdims=True)
+        e = np.exp(x - top)
+        total, top = e.sum(axis=1), top[:, 0]
+    return e, total, top
+
 
+def _target_log_softmax(x: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The log-softmax of every row at its target."""
+    _, total, top = _exponents(x)
+    return x[np.arange(len(x)), target] - top - np.log(total)
 
-def log_likelihood(w: dict, ids: np.ndarray, s: Settings, chunk: int = 8192) -> float:
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    e, total, _ = _exponents(x)
+    e *= (1 / total)[:, None]
+    return e
+
+
+def log_likelihood(w: dict, ids: np.ndarray, s: Settings, chunk: int = 2048) -> float:
     """Sum over all tokens of the log-probability given both sides."""
     total = 0.0
     for start in range(0, len(ids), chunk):
         at = np.arange(start, min(start + chunk, len(ids)))
-        _, major, minor, a, b = _forward(w, _context(ids, at, s), ids[at], s)
-        row = np.arange(len(at))
-        total += float(a[row, major].sum(dtype=np.float64) + b[row, minor].sum(dtype=np.float64))
+        major, minor = np.divmod(ids[at], s.classes)
+        a, b = _logits(w, _hidden(w, _context(ids, at, s)), major)
+        total += float(_target_log_softmax(a, major).sum(dtype=np.float64) + _target_log_softmax(b, minor).sum(dtype=np.float64))
     return total
 
 
 def _subtract_rows(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     """np.subtract.at for whole rows, by sums over the sorted rows."""
-    order = np.argsort(rows, kind="stable")
+    order = rows.argsort()
     ordered = rows[order]
     first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    table[ordered[first]] -= np.add.reduceat(values[order], first, axis=0)
+    table[ordered[first]] -= np.add.reduceat(values.take(order, axis=0), first, axis=0)
 
 
 def step(w: dict, context: np.ndarray, target: np.ndarray, s: Settings) -> None:
     """One gradient step, in place."""
     n, row = len(target), np.arange(len(target))
-    hidden, major, minor, a, b = _forward(w, context, target, s)
-    ga, gb = np.exp(a), np.exp(b)
+    major, minor = np.divmod(target, s.classes)
+    hidden = _hidden(w, context)
+    a, b = _logits(w, hidden, major)
+    ga, gb = _softmax(a), _softmax(b)
     ga[row, major] -= 1.0
     gb[row, minor] -= 1.0
-    ga /= n
-    gb /= n
-    back = (ga @ w["major"].T + gb @ w["minor"].T) * (1.0 - hidden * hidden)
-    w["major"] -= s.rate * hidden.T @ ga
-    w["major_bias"] -= s.rate * ga.sum(axis=0)
-    w["minor"] -= s.rate * hidden.T @ gb
-    _subtract_rows(w["minor_bias"], major, s.rate * gb)
+    back = ga @ w["major"].T
+    back += gb @ w["minor"].T
+    back *= (1.0 - hidden * hidden) * np.float32(1 / n)
+    rate = np.float32(s.rate / n)
+    w["major"] -= rate * (hidden.T @ ga)
+    w["major_bias"] -= rate * (np.ones(n, np.float32) @ ga)
+    w["minor"] -= rate * (hidden.T @ gb)
+    gb *= rate
+    _subtract_rows(w["minor_bias"], major, gb)
     w["bias"] -= s.rate * back.sum(axis=0)
     back *= s.rate * 8.0  # few rows per batch: larger steps
     for k, c in enumerate(context):
@@ -200,12 +245,17 @@ def encode(docs: DataFrame, words: list[bytes], s: Settings) -> DataFrame:
     return beside(docs, _encode(shipped, s), ["text"], "ids binary, rare array<long>, times array<long>", keeps=["doc_id"])
 
 
-def rare_shares(encoded: DataFrame, s: Settings) -> DataFrame:
-    """(tag, rare_score): the log-shares of a row's words outside the list in their entries, by counts over all rows."""
+def rare_shares(encoded: DataFrame, s: Settings, counts: DataFrame | None = None) -> DataFrame:
+    """(tag, rare_score): the log-shares of a row's words outside the list in their entries, by counts over all rows.
+
+    ``counts`` (word, n): of all words outside the list by code, if they are known already.
+    """
     rows = encoded.select("tag", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("tag", F.col("x.rare").alias("word"), F.col("x.times").alias("n"))
-    counts = materialize(rows.groupBy("word").agg(F.sum("n").alias("total")).withColumn("entry", F.pmod(-1 - F.col("word"), F.lit(s.shared))), "counts")
-    entries = counts.groupBy("entry").agg(F.sum("total").alias("whole"))  # at most ``shared`` rows
-    shares = counts.join(F.broadcast(entries), "entry").select("word", F.log(F.col("total") / F.col("whole")).alias("share"))
+    totals = (rows if counts is None else counts).groupBy("word").agg(F.sum("n").alias("total"))
+    totals = materialize(totals.withColumn("entry", F.pmod(-1 - F.col("word"), F.lit(s.shared))), "counts")
+    entries = totals.groupBy("entry").agg(F.sum("total").alias("whole"))  # at most ``shared`` rows
+    shares = materialize(totals.join(F.broadcast(entries), "entry").select("word", F.log(F.col("total") / F.col("whole")).alias("share")), "shares")
+    discard(totals)
     return rows.join(shares, "word").groupBy("tag").agg(F.sum(F.col("n") * F.col("share")).alias("rare_score"))
 
 
@@ -274,13 +324,17 @@ def _score(shipped, s: Settings):
 
 def score(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """``docs``: doc_id, text. One row each: doc_id, n_tokens, score, mean_score."""
+    spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    words = vocabulary(source.select("text"), s)
+    counts = word_counts(source.select("text"))
+    words = vocabulary(source, s, counts)
     s = grown(s, words)
+    listed = spark.createDataFrame([(w,) for w in words], "word binary")  # at most most_classes ** 2 rows
+    unlisted = counts.join(F.broadcast(listed), "word", "left_anti").select(F.col("code").alias("word"), "n")
     encoded = materialize(encode(source, words, s).withColumn("tag", F.monotonically_increasing_id()), "ids")
-    shipped = docs.sparkSession.sparkContext.broadcast(fit(encoded, s))
+    shipped = spark.sparkContext.broadcast(fit(encoded, s))
     known = beside(encoded, _score(shipped, s), ["ids"], "n_tokens long, score double", keeps=["doc_id", "tag"])
-    scored = known.join(rare_shares(encoded, s), "tag", "left").select("doc_id", "n_tokens", (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"))
+    scored = known.join(rare_shares(encoded, s, unlisted), "tag", "left").select("doc_id", "n_tokens", (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"))
     return scored.withColumn("mean_score", F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")))
 
 
