@@ -84,6 +84,7 @@ class Vocabulary(dict):
         return np.where(codes < 0, self.first + (-1 - codes) % self.shared, codes)
 
 
+_AVERAGED = 8  # partitions whose weights a task averages
 _MOST_WORDS = 300_000  # words that a task holds before it hands them on
 
 
@@ -296,10 +297,15 @@ def fit(encoded: DataFrame, s: Settings = Settings()) -> dict[str, np.ndarray]:
     for _ in range(s.rounds):
         shipped = spark.sparkContext.broadcast(weights)  # its size depends on the settings only
         local = materialize(encoded.select("ids").mapInPandas(_learn(shipped, s), "name string, value binary, tokens long"), "weights")
-        # Two levels, so that no task averages the weights of all partitions.
-        spread = local.withColumn("part", F.pmod(F.xxhash64("value"), F.lit(64)))
-        first = spread.groupBy("name", "part").applyInPandas(_average_some, "name string, value binary, tokens long")
-        for r in first.groupBy("name").applyInPandas(_average_some, "name string, value binary, tokens long").collect():  # one row per tensor
+        # Averaged level by level, so that no task reads the weights of more than a few partitions.
+        groups = max(1, local.count() // len(weights))
+        while groups > 1:
+            groups = -(-groups // _AVERAGED)
+            spread = local.withColumn("part", F.pmod(F.xxhash64("value"), F.lit(groups)))
+            merged = materialize(spread.groupBy("name", "part").applyInPandas(_average_some, "name string, value binary, tokens long"), "weights")
+            discard(local)
+            local = merged
+        for r in local.groupBy("name").applyInPandas(_average_some, "name string, value binary, tokens long").collect():  # one row per tensor
             weights[r["name"]] = np.frombuffer(r["value"], dtype="<f4").reshape(weights[r["name"]].shape).copy()
     return weights
 
