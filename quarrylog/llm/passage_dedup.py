@@ -3,8 +3,9 @@
 Passages are repeated at any place of a line, and few texts mark paragraphs, so
 a paragraph is cut by content: it is the ``length`` words that start at an
 anchor, a word whose five-word hash is the least of ``spacing`` in a row. Equal
-passages have equal anchors wherever they stand, and a passage of at least
-length + spacing words holds a whole paragraph.
+passages have equal anchors wherever they stand, and any length + spacing - 1 = 26
+equal words hold a whole paragraph. Two passages of 50 words or more with separate
+edits and a Jaccard similarity of at least 3/4 have so many equal words in a row.
 
 Every paragraph gets a MinHash signature over its word shingles, cut into
 bands; the number of bands is tuned so that a pair at the threshold collides
@@ -19,25 +20,18 @@ document is left alone.
 Paragraphs are seeds of passages: each place of a class is aligned with the class's
 first place (of the smallest doc_id) and extended word by word to both sides, also
 past edits of at most ``EDIT`` words that ``width`` equal words follow, as long as
-the exact Jaccard similarity of the two sides holds. A place that doesn't align
-stays the bare paragraph. The first places stay, the others are removals;
-overlapping ones of a document are merged into spans. At most ``REACH`` words
-beyond the outer paragraphs are looked at: an exact passage of length + spacing
-words ends less than ``spacing`` words from a paragraph of it. Fewer than
-``width`` words between an edit and the end of a passage stay.
-
-Near copies keep few whole paragraphs, as an edit changes every paragraph over it.
-So short runs of ``SEED`` words at their own, denser anchors are seeds too: two
-passages of 50 words or more with separate edits and a Jaccard similarity of at least
-3/4 have at most one edit in 35 words, so 22 equal words in a row and a seed in them,
-whatever the bands of their paragraphs do. A seed counts if the aligned passage has
-at least 2 * length words.
-
-Defined results: null and empty texts have no paragraph; a text of fewer words
-than a paragraph is one paragraph as a whole, so it is compared with other such
-texts; rows with a null doc_id are left alone; rows that repeat a doc_id are one
-document; the spans don't depend on the rows' order or partitions; an empty
-table gives an empty result; other columns are ignored.
+the exact Jaccard similarity of the two sides holds. Passages of fewer than ``LEAST``
+words don't count. The first places stay, the others are removals; overlapping ones
+of a document are merged into spans. At most ``REACH`` words beyond the outer
+paragraphs of a passage are looked at: its equal words end less than ``spacing``
+words from a paragraph of it. Fewer than ``width`` words between an edit and the
+end of a passage stay.
+
+Defined results: null and empty texts have no paragraph; a text of fewer than
+``LEAST`` words is one paragraph as a whole, so it is compared with other such
+texts, and counts at any length; rows with a null doc_id are left alone; rows that
+repeat a doc_id are one document; the spans don't depend on the rows' order or
+partitions; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,18 +42,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Made, beside, components, discard, free_name, materialize, others, slices, table
 from .shingles import WordHashes, mix, shingle_hashes, word_hashes
 
-LENGTH, SPACING, WIDTH, PERCENT, ROWS, RECALL = 24, 26, 5, 75, 3, 0.9
-#: Words looked at beyond the outer paragraphs of a passage, and words of one edit.
-REACH, EDIT = 64, 3
-#: Words and spacing of the short seeds: any SEED + SEED_SPACING - 1 = 22 equal words hold a whole one.
-SEED, SEED_SPACING = 12, 11
+LENGTH, SPACING, WIDTH, PERCENT, ROWS, RECALL = 12, 15, 5, 75, 2, 0.9
+#: Words of a passage at least, words looked at beyond its outer paragraphs, and words of one edit.
+LEAST, REACH, EDIT = 24, 64, 3
+#: Rows of a split of a bucket, and the neighbours that a paragraph meets in it.
+_SPLIT_ROWS, _NEIGHBOURS = 64, 4
 _EDITS = sorted(((a, b) for a in range(EDIT + 1) for b in range(EDIT + 1) if a + b), key=lambda e: (max(e), abs(e[0] - e[1]), e))
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -109,8 +103,13 @@ def _digests(windows: np.ndarray) -> np.ndarray:
         return mix((windows * mix(np.arange(1, windows.shape[1] + 1, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)).view(np.int64)
 
 
-SEEDS, PARAGRAPHS = 0, 1
-_FOUND = "doc_id long, start long, digest long, kind int, size int, bands array<long>, d_lo long, d_hi long"
+#: Kinds of paragraphs: cut from a text, or a short text as a whole.
+CUT, WHOLE = 0, 1
+
+
+def _found_schema(bands: int) -> str:
+    keys = ", ".join(f"k{b} long" for b in range(bands))
+    return f"doc_id long, start long, digest long, kind int, size int, carrier boolean, d_lo long, d_span long, {keys}"
 
 
 def _ranges(digest: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,23 +122,19 @@ def _ranges(digest: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _paragraphs(length: int, spacing: int, width: int, signer: _Signer):
-    columns = [c.split()[0] for c in _FOUND.split(", ")]
-
     def frame(kind: int, size: int, ids: list, starts: list, windows: list) -> pd.DataFrame:
         w = np.concatenate(windows)
-        n = len(w)
         digest, doc_ids = _digests(w), np.concatenate(ids)
-        bands, low, high = ([None] * n for _ in range(3))
-        if kind == PARAGRAPHS:
-            # One of a digest brings its band keys along, and the range of its documents in this batch.
-            at, d_lo, d_hi = _ranges(digest, doc_ids)
-            for k, keys, lo, hi in zip(at.tolist(), signer.keys(w[at]).view(np.int64), d_lo.tolist(), d_hi.tolist(), strict=True):
-                bands[k], low[k], high[k] = keys, lo, hi
-        made = (doc_ids, np.concatenate(starts), digest, kind, size, bands, pd.array(low, dtype="Int64"), pd.array(high, dtype="Int64"))
-        return pd.DataFrame(dict(zip(columns, made, strict=True)))
+        # One of a digest brings its band keys along, and the range of its documents in this batch.
+        at, d_lo, d_hi = _ranges(digest, doc_ids)
+        made = {"doc_id": doc_ids, "start": np.concatenate(starts), "digest": digest, "kind": kind, "size": size}
+        for name, values in (("carrier", True), ("d_lo", d_lo), ("d_span", d_hi - d_lo), *((f"k{b}", k) for b, k in enumerate(signer.keys(w[at]).view(np.int64).T))):
+            made[name] = np.zeros(len(w), dtype=bool if name == "carrier" else np.int64)
+            made[name][at] = values
+        return pd.DataFrame(made)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, reach, short = WordHashes(), np.arange(length - width + 1), np.arange(SEED - width + 1)
+        cache, reach = WordHashes(), np.arange(length - width + 1)
         for batch in batches:
             parts: dict[tuple[int, int], tuple[list, list, list]] = {}
 
@@ -150,13 +145,11 @@ def _paragraphs(length: int, spacing: int, width: int, signer: _Signer):
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 words = word_hashes(text, cache)
                 s = shingle_hashes(words, width)
-                at = anchors(s, length, spacing, width)
-                if len(at):
-                    add(PARAGRAPHS, length, doc_id, at, s[at[:, None] + reach])
-                    at = anchors(s, SEED, SEED_SPACING, width)
-                    add(SEEDS, SEED, doc_id, at, s[at[:, None] + short])
-                elif len(words):  # a short text is one paragraph
-                    add(PARAGRAPHS, len(words), doc_id, np.zeros(1, dtype=np.int64), s[None, :])
+                if len(words) >= LEAST:
+                    at = anchors(s, length, spacing, width)
+                    add(CUT, length, doc_id, at, s[at[:, None] + reach])
+                elif len(words):
+                    add(WHOLE, len(words), doc_id, np.zeros(1, dtype=np.int64), s[None, :])
             for (kind, size), held in parts.items():
                 yield frame(kind, size, *held)
 
@@ -164,19 +157,31 @@ def _paragraphs(length: int, spacing: int, width: int, signer: _Signer):
 
 
 def _contents(width: int):
+    def described(windows: np.ndarray) -> pd.DataFrame:
+        """Digest, sorted shingles, their number and a parity bitmap of paragraphs of one size."""
+        x = np.sort(windows, axis=1)
+        again = np.zeros(x.shape, dtype=bool)
+        again[:, 1:] = x[:, 1:] == x[:, :-1]
+        bit, once = x & np.uint64(127), ~again
+        halves = [np.bitwise_xor.reduce(np.where(once & ((bit >> np.uint64(6)) == h), np.uint64(1) << (bit & np.uint64(63)), np.uint64(0)), axis=1).view(np.int64) for h in (0, 1)]
+        raws = [row.tobytes() if whole else row[keep].tobytes() for row, keep, whole in zip(x, once, ~again.any(axis=1), strict=True)]
+        return pd.DataFrame({"digest": _digests(windows), "x": raws, "n": once.sum(axis=1), "b0": halves[0], "b1": halves[1]})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = WordHashes()
         for batch in slices(batches):
-            rows = []
+            parts: dict[int, tuple[list, list]] = {}
             for text, wanted in zip(batch["text"], batch["wanted"], strict=True):
                 s = shingle_hashes(word_hashes(text, cache), width)
                 for w in wanted:
                     window = s[w["start"] : w["start"] + max(1, w["size"] - width + 1)]
-                    if len(window) and _digests(window[None, :])[0] == w["digest"]:  # of rows that share a doc_id the right one
-                        x = np.unique(window)
-                        ones = np.bincount((x & np.uint64(127)).astype(np.int64), minlength=128) & 1
-                        rows.append((w["digest"], x.tobytes(), len(x), *np.packbits(ones.astype(np.uint8), bitorder="little").view(np.int64).tolist()))
-            yield pd.DataFrame(rows, columns=["digest", "x", "n", "b0", "b1"])
+                    if len(window) == max(1, w["size"] - width + 1):
+                        windows, digests = parts.setdefault(len(window), ([], []))
+                        windows.append(window)
+                        digests.append(w["digest"])
+            for windows, digests in parts.values():
+                made = described(np.stack(windows))
+                yield made[made["digest"] == np.array(digests)]  # of rows that share a doc_id the right one
 
     return run
 
@@ -209,6 +214,23 @@ def _links(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return materialize(pairs.distinct().join(on("a"), "a").join(on("b"), "b").mapInPandas(_verified(percent), "a long, b long"), "links")
 
 
+def _room(x: Callable[[str], Column], y: Callable[[str], Column], percent: int) -> Column:
+    """Bits in which two parity bitmaps differ are at most the shingles in which the paragraphs do: a bound on the overlap."""
+    both = x("n") + y("n")
+    differ = F.bit_count(x("b0").bitwiseXOR(y("b0"))) + F.bit_count(x("b1").bitwiseXOR(y("b1")))
+    return (both - differ) * (100 + percent) >= both * (2 * percent)
+
+
+def _few_of_bucket(rest: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of digests that a hash deals next to each other in a split of their bucket; linear in its rows."""
+    sized = rest.withColumn("size", F.count("*").over(Window.partitionBy("key"))).withColumn("place", F.xxhash64("key", "digest"))
+    order = Window.partitionBy("key", F.pmod("place", F.ceil(F.col("size") / _SPLIT_ROWS))).orderBy("place", "digest")
+    others = F.array(*[F.lag(F.struct("digest", "component", "n", "b0", "b1"), k).over(order) for k in range(1, _NEIGHBOURS + 1)])
+    fits = lambda p: p.isNotNull() & (p["component"] != F.col("component")) & _room(F.col, lambda c: p[c], percent)
+    near = sized.withColumn("others", others).select("digest", F.explode(F.transform(F.filter("others", fits), lambda p: p["digest"])).alias("other"))
+    return near.select(F.least("digest", "other").alias("a"), F.greatest("digest", "other").alias("b"))
+
+
 def repeated_passages(docs: DataFrame, length: int = LENGTH, spacing: int = SPACING, width: int = WIDTH, percent: int = PERCENT, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
     """Spans of words that repeat across documents.
 
@@ -218,18 +240,18 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, spacing: int = SPAC
     """
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     signer = _Signer(rows, tuned_bands(percent, rows, recall))
-    found = materialize(texts.mapInPandas(_paragraphs(length, spacing, width, signer), _FOUND), "paragraphs")
+    found = materialize(texts.mapInPandas(_paragraphs(length, spacing, width, signer), _found_schema(signer.bands)), "paragraphs")
 
     # Band buckets with several digests from several documents. Copies of a paragraph bring their keys once per
     # batch, with the range of all its documents there, so no key is hot through copies and the range of a bucket
     # is that of all places of its paragraphs; overlapping paragraphs of one document don't count.
-    entries = found.where("bands IS NOT NULL").select(F.explode("bands").alias("key"), "digest", "d_lo", "d_hi")
+    entries = found.where("carrier").select(F.explode(F.array(*[f"k{b}" for b in range(signer.bands)])).alias("key"), "digest", "d_lo", "d_span")
     bucket = Window.partitionBy("key")
     low, high = F.min("digest").over(bucket).alias("lo"), F.max("digest").over(bucket).alias("hi")
-    seen = entries.select("key", "digest", low, high, F.min("d_lo").over(bucket).alias("d_lo"), F.max("d_hi").over(bucket).alias("d_hi"))
+    seen = entries.select("key", "digest", low, high, F.min("d_lo").over(bucket).alias("d_lo"), F.max(F.col("d_lo") + F.col("d_span")).over(bucket).alias("d_hi"))
     buckets = materialize(seen.where("lo < hi AND d_lo < d_hi").select("key", "digest", "lo").distinct(), "buckets")
     stars = buckets.where("digest <> lo").select(F.col("lo").alias("a"), F.col("digest").alias("b"))
-    where = found.where(F.col("kind") == PARAGRAPHS).select("doc_id", "start", "digest", "size")
+    where = found.select("doc_id", "start", "digest", "size", "kind")
     known = contents(buckets.select("digest").distinct(), where, texts, width)
     links = _links(stars, known, percent)
     named = buckets.join(components(links).withColumnRenamed("node", "digest"), "digest", "left").select("key", "digest", F.coalesce("component", "digest").alias("component"))
@@ -238,49 +260,39 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, spacing: int = SPAC
     least = buckets.groupBy("key").agg(F.min("lo").alias("lo"))
     rest = named.join(left, "key").join(least, "key").where("digest <> lo").select("key", "digest", "component")
     rest = materialize(rest.join(known.select("digest", "n", "b0", "b1"), "digest"), "rest")
+    # First each meets a few others of its bucket, as dealt by a hash; then what is left is joined whole.
+    links = links.union(_links(_few_of_bucket(rest, percent), known, percent))
+    moved = components(links).select(F.col("node").alias("digest"), F.col("component").alias("now"))
+    rest = rest.join(moved, "digest", "left").withColumn("component", F.coalesce("now", "component")).drop("now")
     x, y = (rest.select(*[F.col(c).alias(f"{s}_{c}") for c in rest.columns]) for s in "xy")
-    # Bits in which two parity bitmaps differ are at most the shingles in which the paragraphs do: a bound on the overlap.
-    both = F.col("x_n") + F.col("y_n")
-    differ = F.bit_count(F.col("x_b0").bitwiseXOR(F.col("y_b0"))) + F.bit_count(F.col("x_b1").bitwiseXOR(F.col("y_b1")))
-    room = (both - differ) * (100 + percent) >= both * (2 * percent)
+    room = _room(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}"), percent)
     more = x.join(y, (F.col("x_key") == F.col("y_key")) & (F.col("x_component") < F.col("y_component")) & room)
     links = links.union(_links(more.select(F.least("x_digest", "y_digest").alias("a"), F.greatest("x_digest", "y_digest").alias("b")), known, percent))
 
-    classed = where.join(components(links).withColumnRenamed("node", "digest"), "digest", "left").select("doc_id", "start", "size", F.coalesce("component", "digest").alias("class"))
+    classed = where.join(components(links).withColumnRenamed("node", "digest"), "digest", "left").select("doc_id", "start", "size", "kind", F.coalesce("component", "digest").alias("class"))
     firsts = classed.groupBy("class").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.max("doc_id").alias("last")).where("at.doc_id < last")
-    places = materialize(_with_documents(classed.withColumnRenamed("class", "digest"), materialize(firsts.select(F.col("class").alias("digest"), "at"), "classes"), PARAGRAPHS), "places")
-    seeds = shared_seeds(found)
-    spans = materialize(extended(places.union(seeds), texts, width, percent, length), "spans")
-    discard(found, places, seeds)
+    firsts = materialize(firsts.select("class", "at"), "classes")
+    hits = materialize(classed.join(firsts, "class"), "hits")
+    discard(found, buckets, known)
+    counts = materialize(hits.select("class", "doc_id").distinct().groupBy("class").agg(F.count("*").alias("n_documents")), "counts")
+    places = hits.join(counts, "class").select("doc_id", "start", "size", F.col("at.doc_id").alias("first"), F.col("at.start").alias("f_start"), "n_documents", "kind")
+    spans = materialize(extended(places, texts, width, percent), "spans")
+    discard(hits, counts, firsts)
     # Of a document: spans in order; one ends where the next one starts beyond its end.
     joined = spans.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end", "first", "n_documents"))).alias("hits"))
     return joined.mapInPandas(_merged, "doc_id long, start_word long, end_word long, component_id long, n_documents long, removed boolean")
 
 
-def _with_documents(places: DataFrame, firsts: DataFrame, kind: int) -> DataFrame:
-    """The places (doc_id, start, size, digest) of the digests of ``firsts`` (digest, at), a table, with their first place and number of documents."""
-    hits = materialize(places.join(firsts, "digest"), "hits")
-    counts = materialize(hits.select("digest", "doc_id").distinct().groupBy("digest").agg(F.count("*").alias("n_documents")), "counts")
-    return hits.join(counts, "digest").select("doc_id", "start", "size", F.col("at.doc_id").alias("first"), F.col("at.start").alias("f_start"), "n_documents", F.lit(kind).alias("kind"))
-
-
-def shared_seeds(found: DataFrame) -> DataFrame:
-    """The places of short seeds that stand in several documents, with the first place of each."""
-    seeds = found.where(F.col("kind") == SEEDS).select("doc_id", "start", "size", "digest")
-    firsts = seeds.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.max("doc_id").alias("last")).where("at.doc_id < last")
-    return materialize(_with_documents(seeds, materialize(firsts.select("digest", "at"), "firsts"), SEEDS), "seeds")
-
-
-def extended(hits: DataFrame, texts: DataFrame, width: int, percent: int, length: int) -> DataFrame:
+def extended(hits: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Passages around the places ``hits`` (doc_id, start, size, first, f_start, n_documents, kind), in both documents: doc_id, start, end, first, n_documents."""
-    pairs = hits.where("doc_id <> first OR start <> f_start").groupBy("doc_id").agg(F.collect_set(F.struct("first", (F.col("start") - F.col("f_start")).alias("shift"), "start", "size", "n_documents", "kind")).alias("hits"))
+    pairs = hits.where("doc_id <> first").groupBy("doc_id").agg(F.collect_set(F.struct("first", (F.col("start") - F.col("f_start")).alias("shift"), "start", "size", "n_documents", "kind")).alias("hits"))
     chains = materialize(pairs.mapInPandas(_chained, "doc_id long, first long, f_from long, f_to long, seeds array<long>, n_documents long"), "chains")
     # The words of the first place travel to the document; a stretch is read once however many documents repeat it.
     stretches = chains.select("first", "f_from", "f_to").distinct()
     wanted = stretches.groupBy("first").agg(F.collect_list(F.struct("f_from", "f_to")).alias("wanted")).withColumnRenamed("first", "doc_id")
     words = materialize(texts.join(wanted, "doc_id").mapInPandas(_stretches, "first long, f_from long, f_to long, words binary").groupBy("first", "f_from", "f_to").agg(F.min("words").alias("words")), "stretches")
     sides = chains.join(words, ["first", "f_from", "f_to"]).groupBy("doc_id").agg(F.collect_list(F.struct("first", "f_from", "seeds", "words", "n_documents")).alias("chains"))
-    found = texts.join(sides, "doc_id").mapInPandas(_aligned(width, percent, length), "doc_id long, start long, end long, first long, n_documents long")
+    found = texts.join(sides, "doc_id").mapInPandas(_aligned(width, percent), "doc_id long, start long, end long, first long, n_documents long")
     return found.distinct()
 
 
@@ -333,6 +345,8 @@ def _reach(x: np.ndarray, y: np.ndarray, width: int) -> list[tuple[int, int]]:
 
 def _core(x: np.ndarray, y: np.ndarray, width: int) -> tuple[int, int] | None:
     """Where the first ``width`` equal words stand in two places, which may be a few words apart."""
+    if len(x) >= width and np.array_equal(x[:width], y[:width]):
+        return 0, 0
     p, q = x.tolist(), y.tolist()
     for shift in sorted(range(width - len(q), len(p) - width + 1), key=abs):
         run = 0
@@ -368,7 +382,7 @@ def passage(d: np.ndarray, f: np.ndarray, start: int, at: int, size: int, width:
         (left if short_left else right).pop()
 
 
-def _aligned(width: int, percent: int, length: int):
+def _aligned(width: int, percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = WordHashes()
         for batch in slices(batches, 100):
@@ -383,7 +397,7 @@ def _aligned(width: int, percent: int, length: int):
                         # Of a long document only the words beside the chain.
                         cut = max(0, start - (at - base) - EDIT * REACH)
                         a, b, fa, fb = passage(d[cut : cut + len(f) + 2 * EDIT * REACH], f, start - cut, at - base, size, width, percent)
-                        if kind == SEEDS and b - a < 2 * length:
+                        if kind == CUT and b - a < LEAST:
                             continue
                         done = b + cut
                         rows.append((doc_id, a + cut, b + cut, c["first"], c["n_documents"]))
