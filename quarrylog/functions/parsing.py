@@ -66,6 +66,7 @@ def normalize_local(raw: Column, level: Column, timestamp: Column) -> Column:
     cut = F.concat(F.substring(raw, F.lit(1), at - 1), F.substring(raw, at + F.length(timestamp), F.length(raw)))
     out = F.when(timestamp.isNotNull(), cut).otherwise(raw)
     out = F.when(level.isNotNull(), replace_first(out, LEVEL_PATTERN)).otherwise(out)
+    # The patterns and what they become.
     out = replace(out, r"^\s*[\[\(][^\]\)]*[\]\)]\s*", "")
     out = replace(out, r"^[\s:\-|]+", "")
     out = trim(replace(out, r"\b\d{3,}\b", "#"))

@@ -62,7 +62,8 @@ def is_blank(text: Column) -> Column:
 def staged(df: DataFrame, **columns: Column) -> DataFrame:
     """``df`` with columns that later steps read without computing them again.
 
-    The optimiser merges neighbouring projections and so repeats an expression
-    wherever its column is used; it doesn't merge them across a generator.
+    The optimiser copies an expression into filters on its column and so repeats
+    it; it doesn't move a filter across a generator. What is only read, and not
+    filtered on, needs no stage: unread columns of a plain projection are dropped.
     """
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))

@@ -104,11 +104,11 @@ def strip_ansi(text: Column) -> Column:
     return F.regexp_replace(text, _ANSI, "")
 
 
-def rule_index(line: Column) -> Column:
+def rule_index(line: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """The first rule that matches, or null."""
     out = F.lit(None).cast("int")
-    for k in range(len(RULES) - 1, -1, -1):
-        out = F.when(found(line, RULES[k].pattern, RULES[k].ignore_case), k).otherwise(out)
+    for k in range(len(rules) - 1, -1, -1):
+        out = F.when(found(line, rules[k].pattern, rules[k].ignore_case), k).otherwise(out)
     return out
 
 
@@ -135,9 +135,9 @@ def _typed(rule: Rule, line: Column) -> Column:
             return F.lit(text)
 
 
-def error_type(rule: Column, line: Column) -> Column:
+def error_type(rule: Column, line: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     out = F.lit(None).cast("string")
-    for k, r in enumerate(RULES):
+    for k, r in enumerate(rules):
         out = F.when(rule == k, _typed(r, line)).otherwise(out)
     return out
 
@@ -166,6 +166,7 @@ def line_number(line: Column) -> Column:
 
 
 def normalize_line(line: Column) -> Column:
+    # The patterns and what they become.
     out = replace_first(trim(line), TIMESTAMP_PATTERN)
     out = replace(out, PATH_PATTERN, "<path>", True)
     out = replace(out, r"\b0x[\da-fA-F]+\b", "<addr>")

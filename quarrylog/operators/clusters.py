@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 THRESHOLD, ISSUE_THRESHOLD = 0.7, 0.72
 MAX_ROUNDS = 100
@@ -30,32 +31,59 @@ def similar_pairs(items: DataFrame, threshold: float = THRESHOLD, within: tuple[
 def checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/quarrylog-checkpoints")
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        master = spark.conf.get("spark.master", "")
+        if not shared and master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(shared or f"{tempfile.gettempdir()}/quarrylog-checkpoints")
     return df.checkpoint()
 
 
 def components(items: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, cluster): the smallest id that links lead to; items without links are their own."""
+    """(id, cluster): the smallest id that links lead to; items without links are their own.
+
+    Every round takes the smallest neighbour's label and then that label's own;
+    only linked items take part.
+    """
     links = checkpointed(pairs.select("a", "b").union(pairs.select("b", "a")))
-    labels = checkpointed(items.select("id", F.col("id").alias("cluster")))
+    labels = checkpointed(links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("cluster")))
     for _ in range(MAX_ROUNDS):
         near = links.join(labels.select(F.col("id").alias("b"), F.col("cluster").alias("near")), "b").groupBy("a").agg(F.min("near").alias("near"))
         stepped = labels.join(near.withColumnRenamed("a", "id"), "id", "left").select("id", F.least("cluster", F.coalesce("near", "cluster")).alias("next"), "cluster")
         jump = stepped.select(F.col("id").alias("next"), F.col("next").alias("far"))
         labels = checkpointed(stepped.join(jump, "next").select("id", F.col("far").alias("cluster"), (F.col("far") != F.col("cluster")).alias("moved")))
         if labels.where("moved").isEmpty():
-            return labels.drop("moved")
+            return items.select("id").join(labels.select("id", "cluster"), "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
         labels = labels.drop("moved")
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
 
 def cluster(items: DataFrame, threshold: float = THRESHOLD, within: tuple[str, ...] = ()) -> DataFrame:
-    """(id, cluster, size, position): clusters by size, then by first member."""
+    """(id, cluster, size): the cluster is named after its first member."""
     named = components(items, similar_pairs(items, threshold, within))
     sizes = named.groupBy("cluster").agg(F.count("*").alias("size"))
     return named.join(sizes, "cluster").select("id", "cluster", "size")
 
 
+def ordered(named: DataFrame) -> DataFrame:
+    """(position, cluster, size, members): clusters by size, the largest first, then by first member; members in order."""
+    rows = named.groupBy("cluster").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("id")).alias("members"))
+    # One row a cluster; the position is a rank over all of them.
+    return rows.select(F.row_number().over(Window.orderBy(F.desc("size"), "cluster")).cast("long").alias("position"), "cluster", "size", "members")
+
+
+def mean_similarity(items: DataFrame) -> DataFrame:
+    """(cluster, mean): the mean cosine of all pairs of a cluster of unit vectors ``items(cluster, embedding)``.
+
+    The squared length of the members' sum is their number and twice the sum of
+    all products, so no pair is made.
+    """
+    flat = items.select("cluster", F.posexplode("embedding").alias("pos", "x")).groupBy("cluster", "pos").agg(F.sum(F.col("x").cast("double")).alias("s"), F.sum(F.col("x").cast("double") * F.col("x")).alias("q"))
+    whole = flat.groupBy("cluster").agg(F.sum(F.col("s") * F.col("s")).alias("all"), F.sum("q").alias("own"))
+    sizes = items.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1")
+    return whole.join(sizes, "cluster").select("cluster", ((F.col("all") - F.col("own")) / (F.col("n") * (F.col("n") - 1))).alias("mean"))
+
+
 def centroids(items: DataFrame, by: str) -> DataFrame:
     """(by, pos, value): the normalised mean vector of every group, one row per dimension."""
     flat = items.select(by, F.posexplode("embedding").alias("pos", "x")).groupBy(by, "pos").agg(F.avg(F.col("x").cast("double")).alias("mean"))

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import fingerprint as fp
 from ..functions.patterns import staged
@@ -82,8 +83,7 @@ def assign_clusters(prints: DataFrame, embedder: Embedder | None, threshold: flo
     items = prints.join(vectors, prints["clean_message"] == vectors["text"]).select("source_id", "fingerprint", F.concat_ws("\x00", "source_id", "fingerprint").alias("id"), "embedding")
     items = clusters.checkpointed(items)
     named = clusters.cluster(items, threshold, ("source_id",)).join(items, "id").select("source_id", "fingerprint", "cluster", "size", "id", "embedding")
-    inner = clusters.similar_pairs(named, -2.0, ("source_id", "cluster")).join(named.select(F.col("id").alias("a"), "cluster"), "a")
-    mean = inner.groupBy("cluster").agg(F.avg("similarity").alias("mean"))
+    mean = clusters.mean_similarity(named)
     confidence = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("mean", F.lit(1.0))))
     return named.join(mean, "cluster", "left").select("source_id", "fingerprint", "cluster", confidence.alias("confidence"))
 
@@ -103,7 +103,7 @@ def issues(groups: DataFrame, embedder: Embedder | None = None, compat_confidenc
     rank = severity_rank(F.col("severity"))
     totals = rows.groupBy("source_id", "cluster").agg(
         F.min_by("message", "ord").alias("message"), F.sum("occurrences").alias("occurrences"), F.min("first_occurrence").alias("first_seen"), F.max("last_occurrence").alias("last_seen"),
-        F.min(rank).alias("rank"), F.count("*").alias("variants"),
+        F.min(rank).alias("rank"), F.count("*").alias("variants"), F.min_by(F.struct("message", "level", "severity", "occurrences", "first_line"), "ord").alias("representative"),
         F.transform(F.array_sort(F.collect_list(F.struct("ord", "sample_raw"))), lambda s: s["sample_raw"]).alias("raw_samples"),
         F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct("message", "level", "severity", "occurrences").alias("e")))), lambda s: s["e"]).alias("related_errors"),
     )
@@ -113,5 +113,54 @@ def issues(groups: DataFrame, embedder: Embedder | None = None, compat_confidenc
     return both.select(
         "source_id", title(F.col("category"), F.col("affected_services")).alias("title"), "category", F.element_at(F.array(*map(F.lit, SEVERITIES)), F.col("rank") + 1).alias("severity"),
         F.when(F.col("variants") > 1, F.concat("message", more)).otherwise(F.col("message")).alias("message"), "occurrences", "first_seen", "last_seen", "affected_services",
-        "related_errors", "raw_samples", confidence.alias("confidence"), (confidence >= HIGH_CONFIDENCE).alias("is_high_confidence"), "fingerprint", F.col("rank").alias("severity_rank"), F.col("size").alias("fingerprints"),
+        "related_errors", "raw_samples", "representative", confidence.alias("confidence"), (confidence >= HIGH_CONFIDENCE).alias("is_high_confidence"), "fingerprint", F.col("rank").alias("severity_rank"), F.col("size").alias("fingerprints"),
+        F.lit(embedder is not None).alias("embedding_available"),
     )
+
+
+def ranked(found: DataFrame) -> DataFrame:
+    """Issues with their ``position`` in their source: the worst severity first, then by occurrences, then by first appearance."""
+    order = Window.partitionBy("source_id").orderBy("severity_rank", F.desc("occurrences"), F.col("representative.first_line"))
+    return found.withColumn("position", F.row_number().over(order).cast("long"))
+
+
+class CachedEmbedder:
+    """An embedder that keeps its vectors as Parquet by text, so that a text is embedded once; ``clear`` forgets them."""
+
+    def __init__(self, embedder: Embedder, path: str) -> None:
+        self.embedder, self.path, self.parts = embedder, path, []
+
+    def __call__(self, texts: DataFrame) -> DataFrame:
+        wanted, spark = texts.select("text").distinct(), texts.sparkSession
+        known = spark.read.parquet(*self.parts) if self.parts else None
+        missing = wanted if known is None else wanted.join(known.select("text"), "text", "left_anti")
+        part = f"{self.path}/part-{len(self.parts)}"
+        self.embedder(missing).select("text", "embedding").write.mode("overwrite").parquet(part)
+        self.parts.append(part)
+        return spark.read.parquet(*self.parts).join(wanted, "text", "left_semi")
+
+    def clear(self) -> None:
+        self.parts.clear()
+
+
+def embedder_or_none(make: Callable[[], Embedder]) -> Embedder | None:
+    """The embedder that ``make`` loads, or nothing if it can't: issues then go by fingerprint only."""
+    try:
+        return make()
+    except Exception:  # a model may fail to load in any way  # noqa: BLE001
+        return None
+
+
+def model_embedder(load: Callable[[], Callable[[list[str]], list[list[float]]]]) -> Embedder:
+    """An embedder by a model: ``load`` runs once in a Python worker and returns texts -> vectors, which are made unit vectors."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        model = load()
+        for batch in batches:
+            rows = np.asarray(model(batch["text"].tolist()), dtype=float).reshape(len(batch), -1)
+            norms = np.linalg.norm(rows, axis=1, keepdims=True)
+            yield pd.DataFrame({"text": batch["text"], "embedding": list(rows / np.where(norms > 0, norms, 1.0))})
+
+    return lambda texts: texts.select("text").distinct().mapInPandas(run, "text string, embedding array<double>")

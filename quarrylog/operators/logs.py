@@ -16,12 +16,12 @@ HOUR_MS = 3_600_000
 
 
 def with_format(lines: DataFrame) -> DataFrame:
-    return staged(lines, format=parsing.line_format(F.col("raw")))
+    return lines.withColumn("format", parsing.line_format(F.col("raw")))
 
 
 def detect_format(lines: DataFrame) -> DataFrame:
     """(source_id, detected_format): the commonest format of the first lines, the earlier seen on a tie."""
-    head = with_format(lines.where(F.col("line_number") <= SAMPLE_LINES))
+    head = staged(lines.where(F.col("line_number") <= SAMPLE_LINES), format=parsing.line_format(F.col("raw")))
     counts = head.where("format IS NOT NULL").groupBy("source_id", "format").agg(F.count("*").alias("n"), F.min("line_number").alias("seen"))
     best = counts.groupBy("source_id").agg(F.min(F.struct(-F.col("n"), "seen", "format")).alias("best"))
     return lines.select("source_id").distinct().join(best, "source_id", "left").select("source_id", F.coalesce("best.format", F.lit("unknown")).alias("detected_format"))
@@ -30,8 +30,9 @@ def detect_format(lines: DataFrame) -> DataFrame:
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Non-blank lines with level, timestamp, message and normalized_message."""
     p = parsing.parse(F.col("raw"), F.col("format"))
-    read = staged(with_format(lines.where(~is_blank(F.col("raw")))), level=p.level, timestamp=p.timestamp, message=p.message)
-    return staged(read, normalized_message=parsing.normalized(F.col("format"), F.col("message")))
+    read = staged(with_format(lines.where(~is_blank(F.col("raw")))), level=p.level, timestamp=p.timestamp)
+    # Plain projections: who only counts levels never makes a message, and filters on the level come before them.
+    return read.withColumn("message", p.message).withColumn("normalized_message", parsing.normalized(F.col("format"), F.col("message")))
 
 
 def line_counters(lines: DataFrame) -> DataFrame:

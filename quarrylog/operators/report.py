@@ -64,5 +64,11 @@ def size_kb(length: Column) -> Column:
     return F.round(length / 1024, 1)
 
 
+def issue_detail(issues: DataFrame, placeholder: str = "No service named") -> DataFrame:
+    """Per issue the number of its variants, its services in one text (or ``placeholder``) and its first raw line."""
+    names = F.coalesce(F.nullif(F.array_join("affected_services", ", "), F.lit("")), F.lit(placeholder))
+    return issues.select("source_id", "fingerprint", F.size("related_errors").cast("long").alias("variants"), names.alias("services"), F.get("raw_samples", F.lit(0)).alias("sample"))
+
+
 def rule_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(r.pattern, r.severity, r.is_regex) for r in SEVERITY_RULES], "pattern string, severity string, is_regex boolean")

@@ -1,8 +1,9 @@
 """The terminal pipeline: classified lines, blocks, issues, commands and totals.
 
 All matching is done by Catalyst on single lines. What depends on order is a
-small automaton over the lines' classes that runs per session; sessions are
-bounded by the size limit of the source.
+small automaton over the lines' classes that runs over sorted partitions, one
+session after the other; a session is bounded by the size limit of the source.
+Only the columns that the automaton reads travel to it.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ _ISSUES = (
 )
 
 
-def classify(lines: DataFrame) -> DataFrame:
-    """Every line with what the rules say of it."""
+def classify(lines: DataFrame, rules: tuple[tr.Rule, ...] = tr.RULES) -> DataFrame:
+    """Every line with what ``rules``, in their order, say of it; ``rule`` is the position of the first that matches."""
     base = staged(lines.select("source_id", "line_number", "raw"), clean=tr.strip_ansi(F.col("raw")))
     base = staged(base, blank=is_blank(F.col("clean")))
     c = F.col("clean")
@@ -35,13 +36,16 @@ def classify(lines: DataFrame) -> DataFrame:
     for text in tr.CONTINUATIONS:
         more = more | c.contains(text)
     marked = staged(
-        base, prompt=prompt & ~F.col("blank"), command=command, rule=F.when(~F.col("blank"), tr.rule_index(c)), frame=tr.is_stack_frame(c), code=found(c, tr.CODE_FRAME_PATTERN), more=more
+        base, prompt=prompt & ~F.col("blank"), command=command, rule=F.when(~F.col("blank"), tr.rule_index(c, rules)), frame=tr.is_stack_frame(c), code=found(c, tr.CODE_FRAME_PATTERN), more=more
     )
     hit = F.col("rule").isNotNull()
     exception = found(c, tr.EXCEPTION_PATTERN) & hit
-    return staged(
-        marked, error_type=tr.error_type(F.col("rule"), c), file_path=tr.file_path(c), file_line=tr.line_number(c), timestamp=tr.timestamp(c), exception=exception,
-        normalized=F.when(hit, F.lower(tr.normalize_line(c))), raw_normalized=F.when(exception, F.lower(tr.normalize_line(F.col("raw")))), raw_trimmed=trim(F.col("raw")), clean_trimmed=trim(c),
+    # Plain projections: what a query doesn't read is never computed.
+    return marked.withColumns(
+        {
+            "error_type": tr.error_type(F.col("rule"), c, rules), "file_path": tr.file_path(c), "file_line": tr.line_number(c), "timestamp": tr.timestamp(c), "exception": exception,
+            "normalized": F.when(hit, F.lower(tr.normalize_line(c))), "raw_normalized": F.when(exception, F.lower(tr.normalize_line(F.col("raw")))), "raw_trimmed": trim(F.col("raw")), "clean_trimmed": trim(c),
+        }
     )
 
 
@@ -82,14 +86,30 @@ def _fate(line, following, in_traceback: bool) -> str:
     return "take" if line.frame or line.code or line.more else "end"
 
 
-def _walk(session: pd.DataFrame) -> Iterator[tuple]:
+def _sessions(batches: Iterator[pd.DataFrame]) -> Iterator[list]:
+    """The lines of one session after the other, from batches in order of session and line."""
+    held: list = []
+    for batch in batches:
+        rows = batch.astype(object)
+        for line in rows.where(rows.notna(), None).itertuples(index=False):
+            if held and line.source_id != held[0].source_id:
+                yield held
+                held = []
+            held.append(line)
+    if held:
+        yield held
+
+
+def _in_order(classified: DataFrame, *columns: str) -> DataFrame:
+    return classified.select(*columns).repartition("source_id").sortWithinPartitions("source_id", "line_number")
+
+
+def _walk(lines: list, traceback: int | None) -> Iterator[tuple]:
     """(line, role, block) in line order; a block object comes with its header and with what it takes."""
-    rows = session.sort_values("line_number").astype(object)
-    lines = list(rows.where(rows.notna(), None).itertuples(index=False))
     block, command = None, None
     for k, line in enumerate(lines):
         if block is not None:
-            fate = _fate(line, lines[k + 1] if k + 1 < len(lines) else None, block.rule == tr.TRACEBACK)
+            fate = _fate(line, lines[k + 1] if k + 1 < len(lines) else None, block.rule == traceback)
             if fate != "end":
                 if fate == "promote":
                     block.promote(line)
@@ -111,23 +131,35 @@ def _walk(session: pd.DataFrame) -> Iterator[tuple]:
             yield line, "frame" if line.frame else "other", None
 
 
-def _roles(session: pd.DataFrame) -> pd.DataFrame:
-    rows = [(x.source_id, x.line_number, role, None if b is None else b.first) for x, role, b in _walk(session)]
-    return pd.DataFrame(rows, columns=["source_id", "line_number", "role", "block"]).astype({"block": "Int64"})
+_LINE = (
+    "source_id", "line_number", "raw", "blank", "prompt", "command", "rule", "frame", "code", "more", "error_type", "file_path", "file_line", "timestamp",
+    "exception", "normalized", "raw_normalized", "raw_trimmed", "clean_trimmed",
+)
 
 
-def line_roles(classified: DataFrame) -> DataFrame:
+def _traceback(rules: tuple[tr.Rule, ...]) -> int | None:
+    return next((k for k, r in enumerate(rules) if r.id == tr.RULES[tr.TRACEBACK].id), None)
+
+
+def line_roles(classified: DataFrame, rules: tuple[tr.Rule, ...] = tr.RULES) -> DataFrame:
     """(source_id, line_number, role, block): role is blank, command, header, absorbed, frame or other; block the header's line."""
-    return classified.groupBy("source_id").applyInPandas(_roles, ROLES)
+    banner = _traceback(rules)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for session in _sessions(batches):
+            rows = [(x.source_id, x.line_number, role, None if b is None else b.first) for x, role, b in _walk(session, banner)]
+            yield pd.DataFrame(rows, columns=["source_id", "line_number", "role", "block"]).astype({"block": "Int64"})
 
+    return _in_order(classified, *_LINE).mapInPandas(run, ROLES)
 
-def _collect(session: pd.DataFrame) -> pd.DataFrame:
-    steps = list(_walk(session))  # blocks are complete now
+
+def _collect(session: list, rules: tuple[tr.Rule, ...]) -> pd.DataFrame:
+    steps = list(_walk(session, _traceback(rules)))  # blocks are complete now
     issues: dict[tuple, dict] = {}
     newest = None
     for line, role, block in steps:
         if role == "header":
-            r = tr.RULES[block.rule]
+            r = rules[block.rule]
             key = (r.category, r.kind, block.type or "", block.key or "")
             issue = issues.get(key)
             if issue is None:
@@ -150,19 +182,24 @@ def _collect(session: pd.DataFrame) -> pd.DataFrame:
             newest["file_path"] = newest["file_path"] or line.file_path
             newest["file_line"] = line.file_line if newest["file_line"] is None else newest["file_line"]
     names = [c.split()[0] for c in _ISSUES.split(", ")]
-    source = session["source_id"].iloc[0]
+    source = session[0].source_id
     out = pd.DataFrame([{"source_id": source, "issue_no": k, **i} for k, i in enumerate(issues.values())], columns=names)
     return out.astype({"file_line": "Int32"})
 
 
-def issues(classified: DataFrame) -> DataFrame:
+def issues(classified: DataFrame, rules: tuple[tr.Rule, ...] = tr.RULES) -> DataFrame:
     """Issues of every session with category, severity, explanation, structured frames and ANSI-free lines."""
-    raw = classified.groupBy("source_id").applyInPandas(_collect, _ISSUES)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for session in _sessions(batches):
+            yield _collect(session, rules)
+
+    raw = _in_order(classified, *_LINE).mapInPandas(run, _ISSUES)
     rule = F.col("rule")
     named = raw.withColumns(
         {
-            "category": tr.pick(rule, [r.category for r in tr.RULES]), "kind": tr.pick(rule, [r.kind for r in tr.RULES]), "severity": tr.pick(rule, [r.severity for r in tr.RULES]),
-            "explanation": tr.pick(rule, [r.explanation for r in tr.RULES]), "parsed_stack": tr.stack_frames(F.col("stack_trace")),
+            "category": tr.pick(rule, [r.category for r in rules]), "kind": tr.pick(rule, [r.kind for r in rules]), "severity": tr.pick(rule, [r.severity for r in rules]),
+            "explanation": tr.pick(rule, [r.explanation for r in rules]), "parsed_stack": tr.stack_frames(F.col("stack_trace")),
             "normalized_lines": F.transform("raw_lines", tr.strip_ansi), "sample_raw": F.array_join("raw_lines", "\n"),
         }
     )
@@ -173,15 +210,15 @@ def ranked(found_issues: DataFrame) -> DataFrame:
     return found_issues.orderBy("source_id", "severity_rank", F.desc("occurrences"), "first_line")
 
 
-def commands(classified: DataFrame, roles: DataFrame) -> DataFrame:
-    """(source_id, command, occurrences, first_line)."""
-    run = classified.join(roles.where("role = 'command'"), ["source_id", "line_number"])
+def commands(classified: DataFrame) -> DataFrame:
+    """(source_id, command, occurrences, first_line). A prompt ends any block, so every line with a command counts."""
+    run = classified.where("command IS NOT NULL")
     return run.groupBy("source_id", "command").agg(F.count("*").alias("occurrences"), F.min("line_number").alias("first_line"))
 
 
-def totals(classified: DataFrame, roles: DataFrame) -> DataFrame:
+def totals(classified: DataFrame, roles: DataFrame, rules: tuple[tr.Rule, ...] = tr.RULES) -> DataFrame:
     """Counters per session; total_lines leaves out absorbed lines, non_blank_lines doesn't."""
-    kind = F.when(F.col("role") == "header", tr.pick(F.col("rule"), [r.kind for r in tr.RULES]))
+    kind = F.when(F.col("role") == "header", tr.pick(F.col("rule"), [r.kind for r in rules]))
     both = classified.select("source_id", "line_number", "rule", "blank", "frame").join(roles, ["source_id", "line_number"]).withColumn("kind", kind)
     role = F.col("role")
     return both.groupBy("source_id").agg(

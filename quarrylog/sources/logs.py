@@ -25,6 +25,25 @@ def pasted(df: DataFrame, text: str = "text", source_id: str = "source_id") -> D
     return df.select(F.col(source_id).alias("source_id"), F.lit(PASTED_NAME).alias("file_name"), F.length(body).cast("long").alias("length"), body.alias("content"))
 
 
+def json_bodies(df: DataFrame, body: str = "body", source_id: str = "source_id") -> DataFrame:
+    """Bodies of the form {"text": "..."} as files; anything else is an empty text."""
+    parsed = F.try_parse_json(F.col(body))
+    text = F.when(F.schema_of_variant(F.try_variant_get(parsed, "$.text", "variant")) == "STRING", F.try_variant_get(parsed, "$.text", "string"))
+    return pasted(df.select(F.col(source_id).alias("source_id"), F.coalesce(text, F.lit("")).alias("text")))
+
+
+def sample(spark: SparkSession) -> DataFrame:
+    """A small log of our own, as a file."""
+    rows = [f"2026-03-04 08:{m:02}:00 {level} {message}" for m, (level, message) in enumerate(SAMPLE)]
+    return spark.createDataFrame([("sample", "sample.log", "\n".join(rows))], "source_id string, file_name string, content string").select("source_id", "file_name", F.length("content").cast("long").alias("length"), "content")
+
+
+SAMPLE = (
+    ("INFO", "service started"), ("ERROR", "Database connection failed for user 41007"), ("WARN", "slow query on orders"), ("ERROR", "Database connection failed for user 52311"),
+    ("FATAL", "out of memory in worker 3"), ("INFO", "retry scheduled"), ("ERROR", "connection refused by kafka:9092"),
+)
+
+
 def accepted_name(name: Column) -> Column:
     return F.lower(name).rlike(rf"\.({'|'.join(EXTENSIONS)})$")
 

@@ -111,3 +111,59 @@ def test_issues(spark):
 def test_normalised_time_needs_a_date(spark):
     assert spark.range(1).select(parsing.event_time(F.lit("10:00:00"))).first()[0] is None
     assert str(spark.range(1).select(parsing.event_time(F.lit("04/Mar/2026:08:15:00 +0000"))).first()[0]) == "2026-03-04 08:15:00"
+
+
+def test_issue_ranking_and_representative(spark):
+    raws = ["2026-03-04 08:00:00 ERROR Redis timeout for user 12345"] * 2 + ["2026-03-04 08:00:02 FATAL deadlock", "2026-03-04 08:00:03 ERROR zzz broke", "2026-03-04 08:00:03 ERROR zzz broke"]
+    groups = logs.error_groups(logs.parse_lines(source.lines(files(spark, "\n".join(raws)))))
+    rows = issues.ranked(issues.issues(groups)).orderBy("position").collect()
+    assert [(r.position, r.severity, r.representative.message, r.representative.first_line) for r in rows] == [
+        (1, "Critical", "deadlock", 3), (2, "High", "Redis timeout for user 12345", 1), (3, "High", "zzz broke", 4),
+    ]
+    assert not rows[0].embedding_available and issues.issues(groups, issues.hashed_embedder()).first().embedding_available
+    detail = {r.fingerprint: r.services for r in report.issue_detail(issues.issues(groups)).collect()}
+    assert detail["deadlock"] == "No service named" and detail["redis timeout for user <n>"] == "Redis, User"
+
+
+def test_embedders(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def load():
+        def model(texts):
+            calls.add(len(texts))
+            return [[3.0 * len(t), 4.0 * len(t)] for t in texts]
+
+        return model
+
+    cached = issues.CachedEmbedder(issues.model_embedder(load), str(tmp_path))
+    texts = spark.createDataFrame([("a",), ("bb",), ("a",)], "text string")
+    assert sorted((r.text, r.embedding) for r in cached(texts).collect()) == [("a", [0.6, 0.8]), ("bb", [0.6, 0.8])]
+    assert cached(spark.createDataFrame([("bb",), ("c",)], "text string")).count() == 2 and calls.value == 3
+    cached.clear()
+    assert cached.parts == []
+    assert issues.embedder_or_none(lambda: 1 / 0) is None
+
+
+def test_mean_similarity_and_order(spark):
+    items = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.6, 0.8]), (1, [0.0, 1.0]), (2, [1.0, 0.0])], "cluster int, embedding array<double>")
+    assert [(r.cluster, round(r["mean"], 6)) for r in clusters.mean_similarity(items).collect()] == [(1, round((0.6 + 0.0 + 0.8) / 3, 6))]
+    named = spark.createDataFrame([(5, 5), (1, 1), (7, 5), (2, 2), (9, 2)], "id int, cluster int")
+    assert [(r.position, r.cluster, r.members) for r in clusters.ordered(named).orderBy("position").collect()] == [(1, 2, [2, 9]), (2, 5, [5, 7]), (3, 1, [1])]
+
+
+def test_json_bodies_and_sample(spark):
+    bodies = spark.createDataFrame([(1, '{"text": "x\\ny"}'), (2, "{no"), (3, '{"text": 7}'), (4, None)], "source_id int, body string")
+    assert {r.source_id: r.content for r in source.json_bodies(bodies).collect()} == {1: "x\ny", 2: "", 3: "", 4: ""}
+    total = logs.summary(source.lines(source.sample(spark))).first()
+    assert (total.total_lines, total.error_count, total.unique_error_count) == (7, 4, 3)
+
+
+def test_streamed_buckets(spark, tmp_path):
+    from quarrylog.streaming.buckets import streaming_buckets
+
+    rows = [("s", k, f"2026-03-04 0{8 + k // 3}:10:0{k % 3} {'ERROR' if k % 2 else 'INFO'} x") for k in range(6)]
+    spark.createDataFrame(rows, "source_id string, line_number long, raw string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("source_id string, line_number long, raw string").parquet(str(tmp_path / "in"))
+    run = streaming_buckets(stream).writeStream.outputMode("complete").format("memory").queryName("streamed").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    assert sorted((str(r.start), r.error_count, r.total_count) for r in spark.table("streamed").collect()) == [("2026-03-04 08:00:00", 1, 3), ("2026-03-04 09:00:00", 2, 3)]

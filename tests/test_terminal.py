@@ -63,3 +63,13 @@ def test_warning_and_clean_session(spark):
 def test_paths(spark):
     lines = session(spark, "src/a/B.tsx:4:2 and /long/er/C.py\napp.py").orderBy("line_number").collect()
     assert [(r.file_path, r.file_line) for r in lines] == [("/a/B.tsx", 4), (None, None)]
+
+
+def test_rules_are_a_parameter(spark):
+    own = (tr.Rule("own", "Own", r"boom (\d+)", "Boom: {1}", "Low", "warning"),)
+    lines = spark.createDataFrame([("s", "$ go\nboom 7\nnpm ERR! x\nboom 7")], "source_id string, text string")
+    found = terminal.classify(source.lines(source.pasted(lines)), own)
+    row = terminal.issues(found, own).first()
+    assert (row.category, row.error_type, row.severity, row.kind, row.occurrences, row.command) == ("Own", "Boom: 7", "Low", "warning", 2, "go")
+    assert terminal.totals(found, terminal.line_roles(found, own), own).first().warning_count == 2
+    assert terminal.commands(found).first().command == "go"
