@@ -271,7 +271,7 @@ def gathered(hosted: DataFrame) -> DataFrame:
 
 
 def style_tree(features: DataFrame) -> DataFrame:
-    """(host, path, pages, importance, layouts) of every node of every site's tree."""
+    """(host, path, pages, importance, layouts) of every node of every site's tree; a page counts once for each layout of the node."""
     each = features.where("kind <> 'use'").groupBy("host", "path", "kind", "feature").agg(*[F.sum(c).alias(c) for c in ("pages", "total", "clogc")])
     spread = F.log("total") - F.col("clogc") / F.col("total")  # entropy over pages, in nats
     log_pages = F.col("pages") * F.log("pages")

@@ -37,7 +37,7 @@ MARGINS = ("source", "lang", "topic")
 ROUNDS, TOLERANCE, MOST_CELLS = 30, 1e-12, 100_000
 NONE = "(none)"
 #: Powers of the actual shares for margins without a target: sources are flattened towards each other, topics less.
-TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.8}
+TEMPER = {"source": 0.8, "lang": 0.8, "topic": 0.9}
 #: The targets of the registered query: half English, the rest in even parts; sources and topics are tempered.
 TARGETS = {"lang": {"en": 0.5, "de": 0.18, "fr": 0.18, "es": 0.14}}
 
