@@ -329,14 +329,17 @@ def _reach(x: np.ndarray, y: np.ndarray, width: int) -> list[tuple[int, int]]:
     i = j = 0
     ends = []
     while True:
-        n = min(len(x) - i, len(y) - j)
-        differ = x[i : i + n] != y[j : j + n]
-        run = int(differ.argmax()) if differ.any() else n
+        run = min(len(x) - i, len(y) - j)
+        if run:
+            differ = x[i : i + run] != y[j : j + run]
+            at = int(differ.argmax())
+            run = at if differ[at] else run
         i, j = i + run, j + run
         ends.append((i, j))
         p, q = x[i : i + EDIT + width].tolist(), y[j : j + EDIT + width].tolist()
+        most_a, most_b = len(p) - width, len(q) - width
         for a, b in _EDITS:
-            if len(p) >= a + width and len(q) >= b + width and p[a : a + width] == q[b : b + width]:
+            if a <= most_a and b <= most_b and p[a] == q[b] and p[a : a + width] == q[b : b + width]:
                 i, j = i + a, j + b
                 break
         else:
@@ -357,16 +360,23 @@ def _core(x: np.ndarray, y: np.ndarray, width: int) -> tuple[int, int] | None:
     return None
 
 
-def _alike(x: np.ndarray, y: np.ndarray, width: int, percent: int) -> bool:
-    if np.array_equal(x, y):
-        return True
-    a, b = (np.unique(shingle_hashes(s.astype(np.uint64), width)) for s in (x, y))
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * common >= percent * (len(a) + len(b) - common)
+def _set(words: np.ndarray, shingles: np.ndarray, a: int, b: int, width: int) -> set[int]:
+    """The shingles of the words from a to b; ``shingles`` are those of all the words."""
+    if b - a < width:
+        return set(shingle_hashes(words[a:b].astype(np.uint64), width).tolist())
+    return set(shingles[a : b - width + 1].tolist())
 
 
-def passage(d: np.ndarray, f: np.ndarray, start: int, at: int, size: int, width: int, percent: int) -> tuple[int, int, int, int]:
+def passage(d: np.ndarray, d_shingles: np.ndarray, f: np.ndarray, f_shingles: np.ndarray, start: int, at: int, size: int, width: int, percent: int) -> tuple[int, int, int, int]:
     """The widest similar passage around the place ``start`` of d and ``at`` of f: its bounds in both."""
+
+    def alike(a: int, b: int, fa: int, fb: int) -> bool:
+        if np.array_equal(d[a:b], f[fa:fb]):
+            return True
+        x, y = _set(d, d_shingles, a, b, width), _set(f, f_shingles, fa, fb, width)
+        common = len(x & y)
+        return 100 * common >= percent * (len(x) + len(y) - common)
+
     core = _core(d[start : start + size], f[at : at + size], width)
     if core is None:
         return start, start + size, at, at + size  # linked through others
@@ -375,7 +385,7 @@ def passage(d: np.ndarray, f: np.ndarray, start: int, at: int, size: int, width:
     left = [(s - i, t - j) for i, j in _reach(d[:s][::-1], f[:t][::-1], width)]
     while True:
         (a, fa), (b, fb) = left[-1], right[-1]
-        if _alike(d[a:b], f[fa:fb], width, percent):
+        if alike(a, b, fa, fb):
             return (a, b, fa, fb) if b - a >= size - 2 * EDIT else (start, start + size, at, at + size)
         # Give up the outer piece that is the shorter one.
         short_left = len(left) > 1 and (len(right) == 1 or left[-2][0] - a <= b - right[-2][0])
@@ -389,14 +399,20 @@ def _aligned(width: int, percent: int):
             rows = []
             for doc_id, text, chains in zip(batch["doc_id"], batch["text"], batch["chains"], strict=True):
                 d = (word_hashes(text, cache) >> np.uint64(32)).astype("<u4")
+                d_shingles = shingle_hashes(d.astype(np.uint64), width)
+                # The shingles of all chains in one go; those that reach into the next chain are never looked at.
+                words = np.frombuffer(b"".join(c["words"] for c in chains), "<u4")
+                shingles, beyond = shingle_hashes(words.astype(np.uint64), width), 0
                 for c in chains:
                     f, base, done = np.frombuffer(c["words"], "<u4"), c["f_from"], 0
+                    f_shingles, beyond = shingles[beyond : beyond + len(f)], beyond + len(f)
                     for start, at, size, kind in np.asarray(c["seeds"], dtype=np.int64).reshape(-1, 4).tolist():
                         if start + size <= done:
                             continue  # inside the passage of the place before
                         # Of a long document only the words beside the chain.
                         cut = max(0, start - (at - base) - EDIT * REACH)
-                        a, b, fa, fb = passage(d[cut : cut + len(f) + 2 * EDIT * REACH], f, start - cut, at - base, size, width, percent)
+                        end = cut + len(f) + 2 * EDIT * REACH
+                        a, b, fa, fb = passage(d[cut:end], d_shingles[cut:end], f, f_shingles, start - cut, at - base, size, width, percent)
                         if kind == CUT and b - a < LEAST:
                             continue
                         done = b + cut
