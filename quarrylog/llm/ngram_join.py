@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Made, beside, components, discard, materialize, slices, table
-from .shingles import WordHashes, mix, shingle_hashes, shingle_set, word_hashes
+from .shingles import mix, shingle_hashes, shingle_set, word_hashes
 
 PERCENT, WIDTH = 75, 5
 _COUNTERS_LOG2 = 16
@@ -90,10 +90,10 @@ def may_link(na: int, a: np.ndarray, nb: int, b: np.ndarray, percent: int) -> bo
 
 def _count(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, total = WordHashes(), np.zeros(1 << _COUNTERS_LOG2, dtype=np.int64)
+        total = np.zeros(1 << _COUNTERS_LOG2, dtype=np.int64)
         for batch in batches:
             for text in batch["text"]:
-                total += np.bincount(_bucket(shingle_hashes(word_hashes(text, cache), width)), minlength=len(total))
+                total += np.bincount(_bucket(shingle_hashes(word_hashes(text), width)), minlength=len(total))
         hit = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": hit, "n": total[hit]})
 
@@ -135,10 +135,10 @@ def _sets(shipped, width: int, percent: int):
     names = [c.split()[0] for c in _SET_SCHEMA.split(", ")]
 
     def factory():
-        cache, (level, splits) = WordHashes(), shipped.value
+        level, splits = shipped.value
 
         def describe(text: bytes | None) -> tuple:
-            x = shingle_set(word_hashes(text, cache), width)
+            x = shingle_set(word_hashes(text), width)
             n = len(x)
             if not n:
                 return 0, 0, None, None, [], [], [], [], [], []
@@ -182,9 +182,8 @@ def _by_bitmap(percent: int):
 
 def _arrays(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordHashes()
         for batch in slices(batches):
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "x": [shingle_set(word_hashes(t, cache), width).tobytes() for t in batch["text"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "x": [shingle_set(word_hashes(t), width).tobytes() for t in batch["text"]]})
 
     return run
 

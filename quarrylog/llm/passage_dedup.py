@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Made, beside, components, discard, free_name, materialize, others, slices, table
-from .shingles import WordHashes, mix, shingle_hashes, word_hashes
+from .shingles import mix, shingle_hashes, word_hashes
 
 LENGTH, SPACING, WIDTH, PERCENT, ROWS, RECALL = 12, 15, 5, 75, 2, 0.9
 #: Words of a passage at least, words looked at beyond its outer paragraphs, and words of one edit.
@@ -134,7 +134,7 @@ def _paragraphs(length: int, spacing: int, width: int, signer: _Signer):
         return pd.DataFrame(made)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, reach = WordHashes(), np.arange(length - width + 1)
+        reach = np.arange(length - width + 1)
         for batch in batches:
             parts: dict[tuple[int, int], tuple[list, list, list]] = {}
 
@@ -143,7 +143,7 @@ def _paragraphs(length: int, spacing: int, width: int, signer: _Signer):
                     held.append(new)
 
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                words = word_hashes(text, cache)
+                words = word_hashes(text)
                 s = shingle_hashes(words, width)
                 if len(words) >= LEAST:
                     at = anchors(s, length, spacing, width)
@@ -168,11 +168,10 @@ def _contents(width: int):
         return pd.DataFrame({"digest": _digests(windows), "x": raws, "n": once.sum(axis=1), "b0": halves[0], "b1": halves[1]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordHashes()
         for batch in slices(batches):
             parts: dict[int, tuple[list, list]] = {}
             for text, wanted in zip(batch["text"], batch["wanted"], strict=True):
-                s = shingle_hashes(word_hashes(text, cache), width)
+                s = shingle_hashes(word_hashes(text), width)
                 for w in wanted:
                     window = s[w["start"] : w["start"] + max(1, w["size"] - width + 1)]
                     if len(window) == max(1, w["size"] - width + 1):
@@ -315,11 +314,10 @@ def _chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cache = WordHashes()
     for batch in slices(batches, 100):
         rows = []
         for doc_id, text, wanted in zip(batch["doc_id"], batch["text"], batch["wanted"], strict=True):
-            w = (word_hashes(text, cache) >> np.uint64(32)).astype("<u4")
+            w = (word_hashes(text) >> np.uint64(32)).astype("<u4")
             rows.extend((doc_id, x["f_from"], x["f_to"], w[x["f_from"] : x["f_to"]].tobytes()) for x in wanted)
         yield pd.DataFrame(rows, columns=["first", "f_from", "f_to", "words"])
 
@@ -394,11 +392,10 @@ def passage(d: np.ndarray, d_shingles: np.ndarray, f: np.ndarray, f_shingles: np
 
 def _aligned(width: int, percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordHashes()
         for batch in slices(batches, 100):
             rows = []
             for doc_id, text, chains in zip(batch["doc_id"], batch["text"], batch["chains"], strict=True):
-                d = (word_hashes(text, cache) >> np.uint64(32)).astype("<u4")
+                d = (word_hashes(text) >> np.uint64(32)).astype("<u4")
                 d_shingles = shingle_hashes(d.astype(np.uint64), width)
                 # The shingles of all chains in one go; those that reach into the next chain are never looked at.
                 words = np.frombuffer(b"".join(c["words"] for c in chains), "<u4")

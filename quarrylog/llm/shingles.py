@@ -12,25 +12,17 @@ import numpy as np
 import xxhash
 
 _MASK = (1 << 64) - 1
-_CACHE_WORDS = 200_000
-
-
-class WordHashes(dict):
-    """Word -> 64-bit hash, filled on demand and emptied when it grows large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > _CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the 64 output bits."""
     with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+        x = x ^ (x >> np.uint64(30))
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(27)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+    return x
 
 
 def _factors(width: int) -> np.ndarray:
@@ -41,9 +33,51 @@ def _factors(width: int) -> np.ndarray:
 _FACTORS = [_factors(n) for n in range(9)]
 
 
-def word_hashes(text: bytes | None, cache: dict) -> np.ndarray:
-    words = text.lower().split() if text else []
-    return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
+#: Bytes of a text that are hashed at once, and of a word that is hashed by itself.
+_BLOCK, _LONG = 1 << 14, 64
+_BASE = 0xD6E8FEB86659FD93
+
+
+def _powers(base: int) -> np.ndarray:
+    out = np.full(_BLOCK + _LONG, base, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+_UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_LETTERS = np.arange(256, dtype=np.uint64)
+_LETTERS[ord("A") : ord("Z") + 1] += np.uint64(32)
+_BYTES = mix((_LETTERS + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def word_hashes(text: bytes | None) -> np.ndarray:
+    """A 64-bit hash of every word, in order: a polynomial of its bytes, all words of a block at once.
+
+    Words of more than ``_LONG`` bytes, where a polynomial is easy to defeat, are hashed one by one.
+    """
+    if not text:
+        return np.empty(0, dtype=np.uint64)
+    raw = np.frombuffer(text, dtype=np.uint8)
+    gap = np.ones(len(raw) + 2, dtype=bool)
+    gap[1:-1] = _SPACE[raw]
+    edges = np.flatnonzero(gap[1:] != gap[:-1])
+    start, end = edges[::2], edges[1::2]
+    out = np.empty(len(start), dtype=np.uint64)
+    at = 0
+    while at < len(start):
+        base = start[at]
+        to = int(np.searchsorted(start, base + _BLOCK))
+        piece = raw[base : base + _BLOCK + _LONG]
+        total = np.zeros(len(piece) + 1, dtype=np.uint64)
+        np.cumsum(_BYTES[piece] * _UP[: len(piece)], out=total[1:])
+        a, b = start[at:to] - base, np.minimum(end[at:to] - base, len(piece))
+        # Divided by the power of the word's place, so that a word's hash is the same anywhere.
+        out[at:to] = mix((total[b] - total[a]) * _DOWN[a])
+        at = to
+    for k in np.flatnonzero(end - start > _LONG):
+        out[k] = xxhash.xxh3_64_intdigest(text[start[k] : end[k]].lower())
+    return out
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylog.llm import common, embedding_dedup, exact_dedup, html_extract, language_id, line_dedup, lm_scoring, mixing, ngram_join, packing, passage_dedup
+from quarrylog.llm import common, embedding_dedup, exact_dedup, html_extract, language_id, line_dedup, lm_scoring, mixing, ngram_join, packing, passage_dedup, shingles
 from quarrylog.llm.queries import ORACLES, QUERIES
 
 WORDS = [f"w{k}" for k in range(400)]
@@ -127,6 +127,17 @@ def test_exact_dedup(docs):
     assert exact_dedup.exact_dedup(empty(docs)).count() == 0
 
 
+def test_word_hashes_tell_words_apart():
+    rng = np.random.default_rng(5)
+    pieces = [bytes(rng.choice(list(b"aAbB\xc3\xa9\x00\x85 \t\n\x0b\x0c\r"), n).tolist()) for n in (1, 7, 400, 40_000)]
+    long = [b"x" * n + end for n in (63, 64, 65, 17_000, 40_000) for end in (b"", b"y", b"Y")]
+    for text in (*pieces, b" ".join([*long, *pieces, *long]), b"w " * 30_000, b"v" * 16_383 + b" end " + b"V" * 16_383, b"", None, b" \n "):
+        words = text.lower().split() if text else []
+        got = shingles.word_hashes(text).tolist()
+        assert len(got) == len(words)
+        assert len(set(zip(words, got, strict=True))) == len(set(words)) == len(set(got))
+
+
 def test_passages(spark):
     passage = prose(1000, 60)
     rows = [(k, prose(k + 200, 30 + k) + " " + passage + " " + prose(k + 300, 40)) for k in range(4)] + [(10, prose(400, 300)), (11, None), (12, ""), (13, "short text"), (None, passage), (14, prose(401, 50) + "\n" + "other start " + passage.split(" ", 2)[2])]
