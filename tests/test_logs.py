@@ -1,3 +1,6 @@
+import time
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +100,69 @@ def test_clusters_and_centroids(spark):
     assert spark.range(1).select(clusters.dot(F.array(F.lit(1.0)), F.array(F.lit(1.0), F.lit(2.0)))).first()[0] == 0.0
 
 
+ODD = "id string, embedding array<double>, g int"
+
+
+def odd_items(spark):
+    rng, nan, inf = np.random.default_rng(5), float("nan"), float("inf")
+    centres = rng.standard_normal((40, 8))
+    near = centres[rng.integers(0, 40, 300)] + 0.25 * rng.standard_normal((300, 8))
+    rows = [(f"v{k % 290}", (v / np.linalg.norm(v)).tolist(), int(k % 3)) for k, v in enumerate(near)]  # ten ids stand twice
+    odd = [[1.0, 0.0], [0.8, 0.6], [nan, 1.0], [inf, 0.0], [-inf, inf], [1e200, 1e200], [-1e200, 1e200], [None, 1.0], [], None, [0.0, 0.0], [3e-9, 4e8], [1e9, 0.7]]
+    rows += [(f"o{k}", v, 1) for k, v in enumerate(odd)] + [(None, [1.0, 0.0], 1), ("w1", [1.0, 0.0], None), ("w2", [1.0, 0.0], None)]
+    return spark.createDataFrame(rows, ODD)
+
+
+def linked(pairs):
+    """Every linked id with the smallest id it leads to, by plain search."""
+    to = {}
+    for a, b in pairs:
+        to.setdefault(a, set()).add(b)
+        to.setdefault(b, set()).add(a)
+    out = {}
+    for start in sorted(to):
+        todo = [] if start in out else [start]
+        while todo:
+            if (x := todo.pop()) not in out:
+                out[x] = start
+                todo += to[x]
+    return out
+
+
+@pytest.mark.parametrize("block_bytes", [1, clusters.BLOCK_BYTES])
+def test_clusters_of_odd_vectors_over_many_blocks(spark, block_bytes):
+    items = odd_items(spark).cache()
+    want = linked((r.a, r.b) for r in clusters._joined_pairs(items, 0.7, ("g",)).collect())
+    links = clusters.similar_links(items, 0.7, ("g",), block_bytes)
+    assert want and linked((r.a, r.b) for r in links.collect()) == want
+    named = {r.id: r.cluster for r in clusters.components(items, links).collect()}
+    assert named == {r.id: want.get(r.id, r.id) for r in items.collect()}
+
+
+def test_links_of_copies_are_fewer_than_rows(spark):
+    items = spark.range(3000).select("id", F.array(F.lit(0.6), F.lit(0.8)).alias("embedding"))
+    links = clusters.similar_links(items, 0.9)
+    assert links.count() < 3000 and {(r.cluster, r.size) for r in clusters.cluster(items, 0.9).collect()} == {(0, 3000)}
+
+
+def test_components_of_a_long_path_take_few_rounds(spark, monkeypatch):
+    rounds, real = [], clusters.checkpointed
+    monkeypatch.setattr(clusters, "checkpointed", lambda df: rounds.append(1) or real(df))
+    order = np.random.default_rng(3).permutation(2000).tolist()
+    pairs = spark.createDataFrame([(min(p), max(p)) for p in zip(order[:-1], order[1:], strict=True)], "a long, b long")
+    assert {r.cluster for r in clusters.components(spark.range(2000), pairs).collect()} == {0}
+    assert len(rounds) <= 2 + 11  # about the logarithm of its length
+
+
+def test_clusters_of_many_vectors_in_time(spark):
+    rows = np.random.default_rng(1).standard_normal((12000, 64))
+    rows = (rows / np.linalg.norm(rows, axis=1, keepdims=True)).tolist()
+    items = clusters.checkpointed(spark.createDataFrame(list(enumerate(rows)), "id long, embedding array<float>"))
+    began = time.monotonic()
+    assert clusters.cluster(items, 0.99).count() == 12000
+    assert time.monotonic() - began < 90  # 72 million comparisons, which took minutes one by one
+
+
 def test_issues(spark):
     raws = ["2026-03-04 08:00:00 ERROR Redis timeout for user 12345"] * 3 + ["2026-03-04 08:00:01 ERROR Redis timeout for user 99999 now", "2026-03-04 08:00:02 FATAL deadlock"]
     groups = logs.error_groups(logs.parse_lines(source.lines(files(spark, "\n".join(raws)))))
