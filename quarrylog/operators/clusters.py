@@ -193,11 +193,26 @@ def cluster(items: DataFrame, threshold: float = THRESHOLD, within: tuple[str, .
     return named.join(sizes, "cluster").select("id", "cluster", "size")
 
 
+def positions(named: DataFrame) -> DataFrame:
+    """(position, cluster, size): clusters by size, the largest first, then by first member.
+
+    Clusters are dealt to partitions in that order, so a position is a place in
+    its partition after the clusters of those before.
+    """
+    order = (F.desc("size"), F.col("cluster").asc())
+    sizes = named.groupBy("cluster").agg(F.count("*").alias("size"))
+    dealt = checkpointed(sizes.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    # One row a partition.
+    counts = dealt.groupBy("part").agg(F.count("*").alias("n"))
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    placed = dealt.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
+    return placed.join(F.broadcast(before), "part").select((F.col("before") + F.col("place")).alias("position"), "cluster", "size")
+
+
 def ordered(named: DataFrame) -> DataFrame:
-    """(position, cluster, size, members): clusters by size, the largest first, then by first member; members in order."""
-    rows = named.groupBy("cluster").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("id")).alias("members"))
-    # One row a cluster; the position is a rank over all of them.
-    return rows.select(F.row_number().over(Window.orderBy(F.desc("size"), "cluster")).cast("long").alias("position"), "cluster", "size", "members")
+    """(position, cluster, size, members): ``positions`` with the members in order."""
+    members = named.groupBy("cluster").agg(F.array_sort(F.collect_list("id")).alias("members"))
+    return positions(named).join(members, "cluster").select("position", "cluster", "size", "members")
 
 
 def mean_similarity(items: DataFrame) -> DataFrame:

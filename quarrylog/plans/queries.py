@@ -317,7 +317,7 @@ def u7_funnel(spark, sf_dir):
     named AS (SELECT id, min(far) AS cluster FROM reach GROUP BY id) SELECT row_number() OVER (ORDER BY count(*) DESC, cluster) AS position, cluster, count(*) AS size FROM named GROUP BY cluster"""
 )
 def c4_cluster_order(spark, sf_dir):
-    return clusters.ordered(clusters.cluster(_vectors(spark, sf_dir), VECTOR_THRESHOLD, ("label",))).drop("members")
+    return clusters.positions(clusters.cluster(_vectors(spark, sf_dir), VECTOR_THRESHOLD, ("label",)))
 
 
 @query()

@@ -217,6 +217,21 @@ def test_mean_similarity_and_order(spark):
     assert [(r.position, r.cluster, r.members) for r in clusters.ordered(named).orderBy("position").collect()] == [(1, 2, [2, 9]), (2, 5, [5, 7]), (3, 1, [1])]
 
 
+def test_positions_over_many_partitions(spark):
+    clustered = [(k, k % 700 if k < 2000 else k) for k in range(4000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = clusters.positions(spark.createDataFrame(clustered, "id long, cluster long"))
+        assert found.rdd.getNumPartitions() > 1
+        got = sorted((r.position, r.cluster, r.size) for r in found.collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = {}
+    for _, c in clustered:
+        sizes[c] = sizes.get(c, 0) + 1
+    assert got == [(k + 1, c, n) for k, (c, n) in enumerate(sorted(sizes.items(), key=lambda x: (-x[1], x[0])))]
+
+
 def test_json_bodies_and_sample(spark):
     bodies = spark.createDataFrame([(1, '{"text": "x\\ny"}'), (2, "{no"), (3, '{"text": 7}'), (4, None)], "source_id int, body string")
     assert {r.source_id: r.content for r in source.json_bodies(bodies).collect()} == {1: "x\ny", 2: "", 3: "", 4: ""}
