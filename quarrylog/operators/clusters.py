@@ -107,6 +107,19 @@ def _reaches(similarity: np.ndarray, threshold: float) -> np.ndarray:
     return ~(similarity < threshold)  # NaN is above all numbers, as in Spark and SQL
 
 
+def _pairs_of(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors, left, right, same = _sides(batches)
+        columns = np.ascontiguousarray(vectors.T)
+        for p, q, _ in _near(vectors, left, right, same, threshold):
+            similarity = _products(columns, p, q)
+            keep = _reaches(similarity, threshold)
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(p[keep])), ids.take(pa.array(q[keep])), pa.array(similarity[keep])], ["p", "q", "similarity"])
+
+    return run
+
+
 def _united(roots: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """``roots``, the least row of every row's set, with the sets of p and q made one."""
     while True:
@@ -142,14 +155,16 @@ def _compared(items: DataFrame, within: tuple[str, ...], run: Callable, block_by
     return found.where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), *more)
 
 
-def similar_pairs(items: DataFrame, threshold: float = THRESHOLD, within: tuple[str, ...] = ()) -> DataFrame:
+def similar_pairs(items: DataFrame, threshold: float = THRESHOLD, within: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(a, b, similarity) for a < b of ``items(id, embedding)``; ``within`` columns must be equal."""
-    return _joined_pairs(items, threshold, within)
+    if threshold <= 0:  # vectors of different lengths are similar, too
+        return _joined_pairs(items, threshold, within)
+    return _compared(items, within, _pairs_of(threshold), block_bytes, "similarity")
 
 
 def similar_links(items: DataFrame, threshold: float = THRESHOLD, within: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(a, b) that lead wherever ``similar_pairs`` lead: fewer of them in each tile than it has rows."""
-    if threshold <= 0:  # vectors of different lengths are similar, too
+    if threshold <= 0:
         return _joined_pairs(items, threshold, within).select("a", "b")
     return _compared(items, within, _links_of(threshold), block_bytes)
 

@@ -160,7 +160,25 @@ def test_clusters_of_many_vectors_in_time(spark):
     items = clusters.checkpointed(spark.createDataFrame(list(enumerate(rows)), "id long, embedding array<float>"))
     began = time.monotonic()
     assert clusters.cluster(items, 0.99).count() == 12000
-    assert time.monotonic() - began < 90  # 72 million comparisons, which took minutes one by one
+    assert time.monotonic() - began < 90  # 72 million comparisons
+
+
+@pytest.mark.parametrize("block_bytes", [1, clusters.BLOCK_BYTES])
+def test_pairs_of_odd_vectors_over_many_blocks(spark, block_bytes):
+    items = odd_items(spark).cache()
+    rows = lambda df: sorted((r.a, r.b, str(r.similarity)) for r in df.collect())
+    for within in (("g",), ()):
+        assert rows(clusters.similar_pairs(items, 0.7, within, block_bytes)) == rows(clusters._joined_pairs(items, 0.7, within))
+
+
+def test_pairs_of_many_vectors_in_time(spark):
+    rows = np.random.default_rng(2).standard_normal((12000, 64))
+    rows[11999] = rows[0] + 0.01 * rows[1]
+    rows = (rows / np.linalg.norm(rows, axis=1, keepdims=True)).tolist()
+    items = clusters.checkpointed(spark.createDataFrame(list(enumerate(rows)), "id long, embedding array<float>"))
+    began = time.monotonic()
+    assert [(r.a, r.b) for r in clusters.similar_pairs(items, 0.99).collect()] == [(0, 11999)]
+    assert time.monotonic() - began < 90  # 72 million comparisons
 
 
 def test_issues(spark):
