@@ -42,12 +42,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from .common import Made, beside, components, discard, free_name, materialize, others, slices, table
-from .shingles import mix, shingle_hashes, word_hashes
+from .shingles import mix, shingle_hashes, texts_hashes, word_hashes
 
 LENGTH, SPACING, WIDTH, PERCENT, ROWS, RECALL = 12, 15, 5, 75, 2, 0.9
 #: Words of a passage at least, words looked at beyond its outer paragraphs, and words of one edit.
@@ -81,6 +84,23 @@ def anchors(shingles: np.ndarray, length: int, spacing: int, width: int) -> np.n
     return np.unique(low & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
+def _anchors_of(shingles: np.ndarray, begin: np.ndarray, starts: np.ndarray, spacing: int) -> np.ndarray:
+    """The anchors of several texts whose shingles stand one after the other, from ``begin`` on, with over ``spacing`` starts each."""
+    n = len(shingles) - spacing + 1
+    if not len(begin) or n <= 0:
+        return np.empty(0, dtype=np.int64)
+    low, span = (mix(shingles) & ~np.uint64(0xFFFFFFFF)) | np.arange(len(shingles), dtype=np.uint64), 1
+    while span * 2 <= spacing:
+        low = np.minimum(low[:-span], low[span:])
+        span *= 2
+    low = np.minimum(low[:n], low[spacing - span : spacing - span + n])
+    inside = np.zeros(len(shingles) + 1, dtype=np.int8)  # windows that don't reach into the next text
+    inside[begin] += 1
+    inside[begin + starts - spacing + 1] -= 1
+    at = (low[np.cumsum(inside[:n], dtype=np.int8) > 0] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return at[np.concatenate(([True], at[1:] != at[:-1]))]
+
+
 class _Signer:
     def __init__(self, rows: int, bands: int) -> None:
         k = np.arange(1, rows * bands + 1, dtype=np.uint64)
@@ -105,11 +125,21 @@ def _digests(windows: np.ndarray) -> np.ndarray:
 
 #: Kinds of paragraphs: cut from a text, or a short text as a whole.
 CUT, WHOLE = 0, 1
+#: Bytes of texts that are hashed at once.
+_TEXTS = 1 << 19
 
 
 def _found_schema(bands: int) -> str:
+    """``place`` is the start of a paragraph that is cut from a text, and less than 0 the size of a whole text."""
     keys = ", ".join(f"k{b} long" for b in range(bands))
-    return f"doc_id long, start long, digest long, kind int, size int, carrier boolean, d_lo long, d_span long, {keys}"
+    return f"doc_id long, place int, digest long, carrier boolean, d_span long, {keys}"
+
+
+def _place(place: str, length: int) -> list[Column]:
+    """Start, size and kind of a paragraph."""
+    whole = F.col(place) < 0
+    start, size = F.when(whole, 0).otherwise(F.col(place)), F.when(whole, -F.col(place)).otherwise(length)
+    return [start.cast("long").alias("start"), size.cast("int").alias("size"), F.when(whole, WHOLE).otherwise(CUT).alias("kind")]
 
 
 def _ranges(digest: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,35 +151,62 @@ def _ranges(digest: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return order[first], ids[order[first]], ids[order[last]]
 
 
+def _pieces(texts: list[bytes | None], most: int = _TEXTS) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that have about ``most`` bytes together."""
+    first = held = 0
+    for k, text in enumerate(texts):
+        held += len(text or b"")
+        if held >= most:
+            yield first, k + 1
+            first, held = k + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
+
+
 def _paragraphs(length: int, spacing: int, width: int, signer: _Signer):
+    reach = np.arange(length - width + 1)
+
     def frame(kind: int, size: int, ids: list, starts: list, windows: list) -> pd.DataFrame:
         w = np.concatenate(windows)
         digest, doc_ids = _digests(w), np.concatenate(ids)
-        # One of a digest brings its band keys along, and the range of its documents in this batch.
+        # One of a digest, of its least document, brings its band keys along, and the range of its documents in this batch.
         at, d_lo, d_hi = _ranges(digest, doc_ids)
-        made = {"doc_id": doc_ids, "start": np.concatenate(starts), "digest": digest, "kind": kind, "size": size}
-        for name, values in (("carrier", True), ("d_lo", d_lo), ("d_span", d_hi - d_lo), *((f"k{b}", k) for b, k in enumerate(signer.keys(w[at]).view(np.int64).T))):
+        place = np.full(len(w), -size, dtype=np.int32) if kind == WHOLE else np.concatenate(starts).astype(np.int32)
+        made = {"doc_id": doc_ids, "place": place, "digest": digest}
+        for name, values in (("carrier", True), ("d_span", d_hi - d_lo), *((f"k{b}", k) for b, k in enumerate(signer.keys(w[at]).view(np.int64).T))):
             made[name] = np.zeros(len(w), dtype=bool if name == "carrier" else np.int64)
             made[name][at] = values
         return pd.DataFrame(made)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reach = np.arange(length - width + 1)
         for batch in batches:
             parts: dict[tuple[int, int], tuple[list, list, list]] = {}
 
-            def add(kind: int, size: int, doc_id: int, at: np.ndarray, windows: np.ndarray) -> None:
-                for held, new in zip(parts.setdefault((kind, size), ([], [], [])), (np.full(len(at), doc_id), at, windows), strict=True):  # noqa: B023
+            def add(kind: int, size: int, doc_ids: np.ndarray, at: np.ndarray, windows: np.ndarray) -> None:
+                for held, new in zip(parts.setdefault((kind, size), ([], [], [])), (doc_ids, at, windows), strict=True):  # noqa: B023
                     held.append(new)
 
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                words = word_hashes(text)
+            ids, texts = batch["doc_id"].to_numpy(), batch["text"].tolist()
+            for low, high in _pieces(texts):
+                words, bounds = texts_hashes(texts[low:high])
+                if not len(words):
+                    continue
+                # Of all texts in one go; those shingles that reach into the next text are never looked at.
                 s = shingle_hashes(words, width)
-                if len(words) >= LEAST:
-                    at = anchors(s, length, spacing, width)
-                    add(CUT, length, doc_id, at, s[at[:, None] + reach])
-                elif len(words):
-                    add(WHOLE, len(words), doc_id, np.zeros(1, dtype=np.int64), s[None, :])
+                begin, n, doc_ids = bounds[:-1], np.diff(bounds), ids[low:high]
+                starts = n - length + 1
+                many = np.flatnonzero((n >= LEAST) & (starts > spacing))
+                at = _anchors_of(s, begin[many], starts[many], spacing)
+                of = many[np.searchsorted(begin[many], at, "right") - 1]
+                if len(at):
+                    add(CUT, length, doc_ids[of], at - begin[of], s[at[:, None] + reach])
+                for k in np.flatnonzero((n > 0) & ((n < LEAST) | (starts <= spacing))).tolist():
+                    own = shingle_hashes(words[bounds[k] : bounds[k + 1]], width)
+                    if n[k] >= LEAST:
+                        at = anchors(own, length, spacing, width)
+                        add(CUT, length, np.full(len(at), doc_ids[k]), at, own[at[:, None] + reach])
+                    else:
+                        add(WHOLE, int(n[k]), doc_ids[k : k + 1], np.zeros(1, dtype=np.int64), own[None, :])
             for (kind, size), held in parts.items():
                 yield frame(kind, size, *held)
 
@@ -167,24 +224,36 @@ def _contents(width: int):
         raws = [row.tobytes() if whole else row[keep].tobytes() for row, keep, whole in zip(x, once, ~again.any(axis=1), strict=True)]
         return pd.DataFrame({"digest": _digests(windows), "x": raws, "n": once.sum(axis=1), "b0": halves[0], "b1": halves[1]})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in slices(batches):
-            parts: dict[int, tuple[list, list]] = {}
-            for text, wanted in zip(batch["text"], batch["wanted"], strict=True):
-                s = shingle_hashes(word_hashes(text), width)
-                for w in wanted:
-                    window = s[w["start"] : w["start"] + max(1, w["size"] - width + 1)]
-                    if len(window) == max(1, w["size"] - width + 1):
-                        windows, digests = parts.setdefault(len(window), ([], []))
-                        windows.append(window)
-                        digests.append(w["digest"])
-            for windows, digests in parts.values():
-                made = described(np.stack(windows))
-                yield made[made["digest"] == np.array(digests)]  # of rows that share a doc_id the right one
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, wanted = batch.column("text").to_pylist(), batch.column("wanted")
+            for low, high in _pieces(texts):
+                words, bounds = texts_hashes(texts[low:high])
+                lists = wanted.slice(low, high - low)
+                at, size, digest = (lists.flatten().field(c).to_numpy() for c in ("start", "size", "digest"))
+                of = np.repeat(np.arange(high - low), lists.value_lengths().to_numpy())
+                # Shingles of all texts in one go; what reaches beyond its text is left out. Texts below the width are one shingle.
+                s, n = shingle_hashes(words, width) if len(words) >= width else np.empty(0, dtype=np.uint64), np.diff(bounds)
+                for wide in np.unique(size).tolist():
+                    k = np.flatnonzero((size == wide) & (at + wide <= n[of]) & ((wide >= width) | (n[of] == wide)))
+                    if not len(k):
+                        continue
+                    places = bounds[of[k]] + at[k]
+                    if wide < width:
+                        windows = np.stack([shingle_hashes(words[p : p + wide], width) for p in places.tolist()])
+                    else:
+                        windows = s[places[:, None] + np.arange(wide - width + 1)]
+                    made = described(windows)
+                    made = made[made["digest"] == digest[k]]  # of rows that share a doc_id the right one
+                    yield pa.RecordBatch.from_pandas(made, schema, preserve_index=False)
+
+    schema = to_arrow_schema(StructType.fromDDL(_CONTENTS))
     return run
 
 
+_CONTENTS = "digest long, x binary, n int, b0 long, b1 long"
+
+
 def _verified(percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -198,13 +267,11 @@ def _verified(percent: int):
     return run
 
 
-def contents(digests: DataFrame, found: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """Of each digest its sorted shingles, their number and a parity bitmap, from the first place where it stands."""
-    # Aggregated before the join, so that no task gathers the places of a common paragraph.
-    where = found.groupBy("digest").agg(F.min(F.struct("doc_id", "start", "size")).alias("at")).join(digests, "digest", "left_semi")
-    wanted = where.select(F.col("at.doc_id").alias("doc_id"), F.struct(F.col("at.start").alias("start"), F.col("at.size").alias("size"), "digest").alias("w")).groupBy("doc_id").agg(F.collect_list("w").alias("wanted"))
-    schema = "digest long, x binary, n int, b0 long, b1 long"
-    return materialize(texts.join(wanted, "doc_id").select("text", "wanted").mapInPandas(_contents(width), schema).dropDuplicates(["digest"]), "contents")
+def contents(digests: DataFrame, texts: DataFrame, width: int, length: int) -> DataFrame:
+    """Of each digest its sorted shingles, their number and a parity bitmap, from the place (doc_id, place) where it stands."""
+    w = F.struct(*_place("place", length)[:2], "digest").alias("w")
+    wanted = digests.select("doc_id", w).groupBy("doc_id").agg(F.collect_list("w").alias("wanted"))
+    return materialize(texts.join(wanted, "doc_id").select("text", "wanted").mapInArrow(_contents(width), _CONTENTS).dropDuplicates(["digest"]), "contents")
 
 
 def _links(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -244,14 +311,19 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, spacing: int = SPAC
     # Band buckets with several digests from several documents. Copies of a paragraph bring their keys once per
     # batch, with the range of all its documents there, so no key is hot through copies and the range of a bucket
     # is that of all places of its paragraphs; overlapping paragraphs of one document don't count.
-    entries = found.where("carrier").select(F.explode(F.array(*[f"k{b}" for b in range(signer.bands)])).alias("key"), "digest", "d_lo", "d_span")
+    carried = found.where("carrier").withColumnRenamed("doc_id", "d_lo")
+    entries = carried.select(F.explode(F.array(*[f"k{b}" for b in range(signer.bands)])).alias("key"), "digest", "d_lo", "d_span")
     bucket = Window.partitionBy("key")
     low, high = F.min("digest").over(bucket).alias("lo"), F.max("digest").over(bucket).alias("hi")
     seen = entries.select("key", "digest", low, high, F.min("d_lo").over(bucket).alias("d_lo"), F.max(F.col("d_lo") + F.col("d_span")).over(bucket).alias("d_hi"))
     buckets = materialize(seen.where("lo < hi AND d_lo < d_hi").select("key", "digest", "lo").distinct(), "buckets")
     stars = buckets.where("digest <> lo").select(F.col("lo").alias("a"), F.col("digest").alias("b"))
-    where = found.select("doc_id", "start", "digest", "size", "kind")
-    known = contents(buckets.select("digest").distinct(), where, texts, width)
+    # Digests of several documents or in a bucket, with their documents' range and any one place; the many others are
+    # done with. Only longs are aggregated, and the small side of each join is hashed, so that nothing sorts all paragraphs.
+    ranges = carried.groupBy("digest").agg(F.min("d_lo").alias("d_lo"), F.max(F.col("d_lo") + F.col("d_span")).alias("d_hi"), F.first("d_lo").alias("doc_id"), F.first("place").alias("place"))
+    compared = buckets.select("digest").distinct().withColumn("compared", F.lit(True))
+    digests = materialize(ranges.join(compared.hint("shuffle_hash"), "digest", "left").where("compared OR d_lo < d_hi"), "digests")
+    known = contents(digests.where("compared"), texts, width, length)
     links = _links(stars, known, percent)
     named = buckets.join(components(links).withColumnRenamed("node", "digest"), "digest", "left").select("key", "digest", F.coalesce("component", "digest").alias("component"))
     left = named.groupBy("key").agg(F.min("component").alias("c_lo"), F.max("component").alias("c_hi")).where("c_lo < c_hi").select("key")
@@ -268,15 +340,18 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, spacing: int = SPAC
     more = x.join(y, (F.col("x_key") == F.col("y_key")) & (F.col("x_component") < F.col("y_component")) & room)
     links = links.union(_links(more.select(F.least("x_digest", "y_digest").alias("a"), F.greatest("x_digest", "y_digest").alias("b")), known, percent))
 
-    classed = where.join(components(links).withColumnRenamed("node", "digest"), "digest", "left").select("doc_id", "start", "size", "kind", F.coalesce("component", "digest").alias("class"))
-    firsts = classed.groupBy("class").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.max("doc_id").alias("last")).where("at.doc_id < last")
-    firsts = materialize(firsts.select("class", "at"), "classes")
-    hits = materialize(classed.join(firsts, "class"), "hits")
-    discard(found, buckets, known)
-    counts = materialize(hits.select("class", "doc_id").distinct().groupBy("class").agg(F.count("*").alias("n_documents")), "counts")
-    places = hits.join(counts, "class").select("doc_id", "start", "size", F.col("at.doc_id").alias("first"), F.col("at.start").alias("f_start"), "n_documents", "kind")
+    classed = digests.join(components(links).withColumnRenamed("node", "digest"), "digest", "left").select("digest", "d_lo", "d_hi", F.coalesce("component", "digest").alias("class"))
+    wide = classed.groupBy("class").agg(F.min("d_lo").alias("first"), F.max("d_hi").alias("last")).where("first < last").drop("last")
+    classes = materialize(classed.select("digest", "class").join(wide, "class"), "classes")
+    hits = found.select("digest", "doc_id", "place").join(classes.hint("shuffle_hash"), "digest")
+    hits = materialize(hits.select("class", "first", "doc_id", *_place("place", length)), "hits")
+    discard(found, buckets, known, digests, classes)
+    # The first place of a class is in its smallest document.
+    starts = hits.groupBy("class", "first", "doc_id").agg(F.min("start").alias("start"))
+    counts = materialize(starts.groupBy("class").agg(F.count("*").alias("n_documents"), F.min(F.when(F.col("doc_id") == F.col("first"), F.col("start"))).alias("f_start")), "counts")
+    places = hits.join(counts, "class").select("doc_id", "start", "size", "first", "f_start", "n_documents", "kind")
     spans = materialize(extended(places, texts, width, percent), "spans")
-    discard(hits, counts, firsts)
+    discard(hits, counts)
     # Of a document: spans in order; one ends where the next one starts beyond its end.
     joined = spans.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end", "first", "n_documents"))).alias("hits"))
     return joined.mapInPandas(_merged, "doc_id long, start_word long, end_word long, component_id long, n_documents long, removed boolean")
@@ -285,32 +360,44 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, spacing: int = SPAC
 def extended(hits: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Passages around the places ``hits`` (doc_id, start, size, first, f_start, n_documents, kind), in both documents: doc_id, start, end, first, n_documents."""
     pairs = hits.where("doc_id <> first").groupBy("doc_id").agg(F.collect_set(F.struct("first", (F.col("start") - F.col("f_start")).alias("shift"), "start", "size", "n_documents", "kind")).alias("hits"))
-    chains = materialize(pairs.mapInPandas(_chained, "doc_id long, first long, f_from long, f_to long, seeds array<long>, n_documents long"), "chains")
+    chains = materialize(pairs.mapInArrow(_chained, "doc_id long, first long, f_from long, f_to long, seeds array<long>, n_documents long"), "chains")
     # The words of the first place travel to the document; a stretch is read once however many documents repeat it.
     stretches = chains.select("first", "f_from", "f_to").distinct()
     wanted = stretches.groupBy("first").agg(F.collect_list(F.struct("f_from", "f_to")).alias("wanted")).withColumnRenamed("first", "doc_id")
     words = materialize(texts.join(wanted, "doc_id").mapInPandas(_stretches, "first long, f_from long, f_to long, words binary").groupBy("first", "f_from", "f_to").agg(F.min("words").alias("words")), "stretches")
     sides = chains.join(words, ["first", "f_from", "f_to"]).groupBy("doc_id").agg(F.collect_list(F.struct("first", "f_from", "seeds", "words", "n_documents")).alias("chains"))
-    found = texts.join(sides, "doc_id").mapInPandas(_aligned(width, percent), "doc_id long, start long, end long, first long, n_documents long")
+    found = texts.join(sides, "doc_id").mapInArrow(_aligned(width, percent), "doc_id long, start long, end long, first long, n_documents long")
     return found.distinct()
 
 
-def _chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Places of one document on one shift against one first document, cut where they stand far apart."""
     for batch in batches:
-        rows = []
-        for doc_id, hits in zip(batch["doc_id"], batch["hits"], strict=True):
-            last = None
-            for h in sorted(hits, key=lambda h: (h["first"], h["shift"], h["start"], h["size"], h["kind"])):
-                at, end = h["start"] - h["shift"], h["start"] - h["shift"] + h["size"]
-                if last and (last[0], last[1]) == (h["first"], h["shift"]) and at <= last[3] + REACH:
-                    last[3], last[5] = max(last[3], end), max(last[5], h["n_documents"])
-                    last[4] += [h["start"], at, h["size"], h["kind"]]
-                else:
-                    last = [h["first"], h["shift"], at, end, [h["start"], at, h["size"], h["kind"]], h["n_documents"]]
-                    rows.append((doc_id, last))
-        out = [(doc_id, r[0], max(0, r[2] - REACH), r[3] + REACH, r[4], r[5]) for doc_id, r in rows]
-        yield pd.DataFrame(out, columns=["doc_id", "first", "f_from", "f_to", "seeds", "n_documents"])
+        hits = batch.column("hits")
+        row = np.repeat(np.arange(batch.num_rows), hits.value_lengths().to_numpy())
+        if not len(row):
+            continue
+        h = {name: hits.flatten().field(name).to_numpy() for name in ("first", "shift", "start", "size", "n_documents", "kind")}
+        order = np.lexsort((h["kind"], h["size"], h["start"], h["shift"], h["first"], row))
+        row, h = row[order], {name: values[order] for name, values in h.items()}
+        at = h["start"] - h["shift"]
+        other = np.ones(len(row), dtype=bool)
+        other[1:] = (row[1:] != row[:-1]) | (h["first"][1:] != h["first"][:-1]) | (h["shift"][1:] != h["shift"][:-1])
+        # The largest end so far, of one shift and first document: the ends of each such group lie above those of the ones before.
+        above = np.cumsum(other) << 32
+        end = np.maximum.accumulate(above + at + h["size"]) - above
+        begins = np.flatnonzero(other | np.concatenate(([True], at[1:] > end[:-1] + REACH)))
+        ends = np.append(begins[1:], len(row)) - 1
+        seeds = np.column_stack((h["start"], at, h["size"], h["kind"])).astype(np.int64).ravel()
+        columns = {
+            "doc_id": batch.column("doc_id").to_numpy()[row[begins]],
+            "first": h["first"][begins],
+            "f_from": np.maximum(0, at[begins] - REACH),
+            "f_to": end[ends] + REACH,
+            "seeds": pa.ListArray.from_arrays(pa.array(np.append(begins, len(row)) * 4, pa.int32()), pa.array(seeds)),
+            "n_documents": np.maximum.reduceat(h["n_documents"], begins),
+        }
+        yield pa.RecordBatch.from_pydict({name: values if name == "seeds" else pa.array(values, pa.int64()) for name, values in columns.items()})
 
 
 def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -390,32 +477,98 @@ def passage(d: np.ndarray, d_shingles: np.ndarray, f: np.ndarray, f_shingles: np
         (left if short_left else right).pop()
 
 
+def _goes_on(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, x_end: np.ndarray, y_end: np.ndarray, step: int, width: int) -> np.ndarray:
+    """Whether ``width`` equal words follow an edit at i of x and j of y, to the right (``step`` 1) or left (-1), before the ends."""
+    out = np.zeros(len(i), dtype=bool)
+    room_x, room_y = (x_end - i) * step - width, (y_end - j) * step - width
+    for a, b in _EDITS:
+        live = np.flatnonzero((a <= room_x) & (b <= room_y) & ~out)
+        for k in range(width):
+            live = live[x[i[live] + step * (a + k)] == y[j[live] + step * (b + k)]]
+        out[live] = True
+    return out
+
+
+def _runs(d: np.ndarray, f: np.ndarray, s: np.ndarray, t: np.ndarray, d_from: np.ndarray, d_to: np.ndarray, f_from: np.ndarray, f_to: np.ndarray, chain: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of seeds at s of d and t of f: the equal words around t in f, and whether the passage is just these, without an edit.
+
+    ``d_from`` to ``f_to`` bound each chain's document and stretch; the seeds of a chain, its number in ``chain``, have one shift.
+    """
+    shift = np.zeros(len(f_from), dtype=np.int64)
+    shift[chain] = s - t
+    beside = np.arange(len(f)) + np.repeat(shift, f_to - f_from)
+    differ = np.flatnonzero(d[np.clip(beside, 0, len(d) - 1)] != f) if len(d) else np.arange(len(f))
+    at = np.searchsorted(differ, t)
+    low, high = np.maximum(f_from, d_from - shift)[chain], np.minimum(f_to, d_to - shift)[chain]
+    left = np.maximum(low, np.concatenate(([0], differ + 1))[at])
+    right = np.minimum(high, np.append(differ, len(f))[at])
+    plain = right - t >= width
+    # Seeds of one run end at the same edits.
+    k = np.flatnonzero(plain)
+    if len(k):
+        new = np.concatenate(([True], (chain[k][1:] != chain[k][:-1]) | (left[k][1:] != left[k][:-1])))
+        r = k[new]
+        c = chain[r]
+        on = _goes_on(d, f, right[r] + shift[c], right[r], d_to[c], f_to[c], 1, width)
+        on |= _goes_on(d, f, left[r] + shift[c] - 1, left[r] - 1, d_from[c] - 1, f_from[c] - 1, -1, width)
+        plain[k] = ~on[np.cumsum(new) - 1]
+    return left, right, plain
+
+
 def _aligned(width: int, percent: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in slices(batches, 100):
-            rows = []
-            for doc_id, text, chains in zip(batch["doc_id"], batch["text"], batch["chains"], strict=True):
-                d = (word_hashes(text) >> np.uint64(32)).astype("<u4")
-                d_shingles = shingle_hashes(d.astype(np.uint64), width)
-                # The shingles of all chains in one go; those that reach into the next chain are never looked at.
-                words = np.frombuffer(b"".join(c["words"] for c in chains), "<u4")
-                shingles, beyond = shingle_hashes(words.astype(np.uint64), width), 0
-                for c in chains:
-                    f, base, done = np.frombuffer(c["words"], "<u4"), c["f_from"], 0
-                    f_shingles, beyond = shingles[beyond : beyond + len(f)], beyond + len(f)
-                    for start, at, size, kind in np.asarray(c["seeds"], dtype=np.int64).reshape(-1, 4).tolist():
-                        if start + size <= done:
-                            continue  # inside the passage of the place before
-                        # Of a long document only the words beside the chain.
-                        cut = max(0, start - (at - base) - EDIT * REACH)
-                        end = cut + len(f) + 2 * EDIT * REACH
-                        a, b, fa, fb = passage(d[cut:end], d_shingles[cut:end], f, f_shingles, start - cut, at - base, size, width, percent)
-                        if kind == CUT and b - a < LEAST:
-                            continue
-                        done = b + cut
-                        rows.append((doc_id, a + cut, b + cut, c["first"], c["n_documents"]))
-                        rows.append((c["first"], fa + base, fb + base, c["first"], c["n_documents"]))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "first", "n_documents"])
+    def aligned(piece: pa.RecordBatch) -> pa.RecordBatch:
+        """Equal passages without edits are found for all chains at once, others one by one."""
+        words, bounds = texts_hashes(piece.column("text").to_pylist())
+        d = (words >> np.uint64(32)).astype("<u4")
+        lists = piece.column("chains")
+        chains = lists.flatten()
+        first, base, n_documents = (chains.field(c).to_numpy() for c in ("first", "f_from", "n_documents"))
+        doc = np.repeat(np.arange(piece.num_rows), lists.value_lengths().to_numpy())
+        stretches = chains.field("words").to_pylist()
+        f = np.frombuffer(b"".join(stretches), "<u4")
+        f_to = np.cumsum([len(x) // 4 for x in stretches], dtype=np.int64)
+        f_from = np.concatenate(([0], f_to[:-1]))
+        seeds = chains.field("seeds").flatten().to_numpy().reshape(-1, 4)
+        of = np.repeat(np.arange(len(chains)), chains.field("seeds").value_lengths().to_numpy() // 4)
+        s, t = bounds[doc[of]] + seeds[:, 0], f_from[of] + seeds[:, 1] - base[of]
+        left, right, plain = _runs(d, f, s, t, bounds[doc], bounds[doc + 1], f_from, f_to, of, width)
+        # The shingles of all texts and chains in one go; those that reach into the next one are never looked at.
+        d_shingles, f_shingles = shingle_hashes(d.astype(np.uint64), width), shingle_hashes(f.astype(np.uint64), width)
+        begins, f_begins, f_ends, docs, bases = bounds.tolist(), f_from.tolist(), f_to.tolist(), doc.tolist(), base.tolist()
+        made, last, done = [], -1, 0
+        for c, (start, at, size, kind), run, a, b in zip(of.tolist(), seeds.tolist(), plain.tolist(), (left - t).tolist(), (right - t).tolist(), strict=True):
+            if c != last:
+                last, done = c, 0
+            if start + size <= done:
+                continue  # inside the passage of the place before
+            if run:
+                a, b = (a, b) if b - a >= size - 2 * EDIT else (0, size)
+                a, b, fa, fb = start + a, start + b, at + a, at + b
+            else:
+                # Of a long document only the words beside the chain.
+                low, high, f_low, f_high = begins[docs[c]], begins[docs[c] + 1], f_begins[c], f_ends[c]
+                cut = max(0, start - (at - bases[c]) - EDIT * REACH)
+                low, high = min(low + cut, high), min(low + cut + (f_high - f_low) + 2 * EDIT * REACH, high)
+                a, b, fa, fb = passage(d[low:high], d_shingles[low:high], f[f_low:f_high], f_shingles[f_low:f_high], start - cut, at - bases[c], size, width, percent)
+                a, b, fa, fb = a + cut, b + cut, fa + bases[c], fb + bases[c]
+            if kind == CUT and b - a < LEAST:
+                continue
+            done = b
+            made.append((c, a, b, fa, fb))
+        c, a, b, fa, fb = np.array(made, dtype=np.int64).reshape(-1, 5).T
+        columns = {
+            "doc_id": np.concatenate((piece.column("doc_id").to_numpy()[doc[c]], first[c])),
+            "start": np.concatenate((a, fa)),
+            "end": np.concatenate((b, fb)),
+            "first": np.tile(first[c], 2),
+            "n_documents": np.tile(n_documents[c], 2),
+        }
+        return pa.RecordBatch.from_pydict(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                yield aligned(batch.slice(at, 200))
 
     return run
 

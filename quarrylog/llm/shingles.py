@@ -8,6 +8,8 @@ a text without words gives the empty set.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import xxhash
 
@@ -56,8 +58,20 @@ def word_hashes(text: bytes | None) -> np.ndarray:
 
     Words of more than ``_LONG`` bytes, where a polynomial is easy to defeat, are hashed one by one.
     """
-    if not text:
-        return np.empty(0, dtype=np.uint64)
+    return _hashed(text or b"")[0]
+
+
+def texts_hashes(texts: Iterable[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of several texts, one text after the other, and where each text's begin (and the last ones end)."""
+    texts = [t or b"" for t in texts]
+    out, start = _hashed(b" ".join(texts))
+    begin = np.zeros(len(texts) + 1, dtype=np.int64)
+    np.cumsum([len(t) + 1 for t in texts], out=begin[1:])
+    return out, np.searchsorted(start, begin)
+
+
+def _hashed(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words and the bytes where they start."""
     raw = np.frombuffer(text, dtype=np.uint8)
     gap = np.ones(len(raw) + 2, dtype=bool)
     gap[1:-1] = _SPACE[raw]
@@ -77,7 +91,7 @@ def word_hashes(text: bytes | None) -> np.ndarray:
         at = to
     for k in np.flatnonzero(end - start > _LONG):
         out[k] = xxhash.xxh3_64_intdigest(text[start[k] : end[k]].lower())
-    return out
+    return out, start
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:

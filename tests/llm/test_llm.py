@@ -6,6 +6,8 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,6 +194,75 @@ def test_anchors_are_dense_and_follow_content():
     assert set(at[at > 60]) <= set(moved)
 
 
+def test_paragraphs_of_many_texts_at_once():
+    texts = [t if t is None else t.encode() for t in [*TEXTS, *[prose(900 + n, n) for n in range(40)], "a b " * 30, "x" * 100 + " y" * 30]]
+    signer = passage_dedup._Signer(2, 3)
+    run = passage_dedup._paragraphs(12, 15, 5, signer)
+    frame = pd.concat(run([pd.DataFrame({"doc_id": np.arange(len(texts)), "text": texts})]))
+    want = []
+    for k, text in enumerate(texts):
+        words = shingles.word_hashes(text)
+        s = shingles.shingle_hashes(words, 5)
+        if len(words) >= passage_dedup.LEAST:
+            want += [(k, a, passage_dedup._digests(s[None, a : a + 8])[0]) for a in passage_dedup.anchors(s, 12, 15, 5).tolist()]
+        elif len(words):
+            want.append((k, -len(words), passage_dedup._digests(s[None, :])[0]))
+    assert sorted(zip(frame["doc_id"], frame["place"], frame["digest"], strict=True)) == sorted(want)
+    least = frame.groupby("digest")["doc_id"].min()
+    carriers = frame[frame["carrier"]]
+    assert dict(zip(carriers["digest"], carriers["doc_id"], strict=True)) == least.to_dict() and len(carriers) == len(least)
+
+
+def test_equal_passages_are_aligned_at_once(monkeypatch):
+    """Seed by seed with ``passage``, over few words (equal by chance, beside edits and ends) and many."""
+    calls, one_by_one = [], passage_dedup.passage
+    monkeypatch.setattr(passage_dedup, "passage", lambda *a: calls.append(1) or one_by_one(*a))
+    hash_of = lambda text: (shingles.word_hashes(text) >> np.uint64(32)).astype("<u4")
+    for vocabulary, edits in ((3, 0.1), (400, 0.05), (400, 0)):
+        rng = np.random.default_rng(vocabulary)
+        first = [str(x) for x in rng.integers(vocabulary, size=300)]
+        texts, chains, want, n_seeds = [], [], set(), 0
+        for doc_id in range(30):
+            low, high = sorted(rng.integers(300, size=2).tolist())
+            copy = [w if rng.random() >= edits else rng.choice(["e", "e e", ""]) for w in first[low:high]]
+            before = [f"b{doc_id}"] * int(rng.integers(4))
+            texts.append(" ".join([*before, *copy, *["z"] * int(rng.integers(4))]).encode())
+            chains.append([])
+            d = hash_of(texts[-1])
+            for f_from in (max(0, low - 64), low + 3):
+                f = hash_of(" ".join(first[f_from : high + 64]).encode())
+                seeds = [(at - low + len(before), at, 12, passage_dedup.CUT) for at in sorted(rng.integers(max(low, f_from), 300, size=6).tolist()) if at + 12 <= min(high, f_from + len(f)) and at - low + len(before) + 12 <= len(d)]
+                chains[-1].append({"first": 7000 + f_from, "f_from": f_from, "seeds": [x for seed in seeds for x in seed], "words": f.tobytes(), "n_documents": 2})
+                (d_shingles, f_shingles), done = (shingles.shingle_hashes(x.astype(np.uint64), 5) for x in (d, f)), 0
+                for start, at, size, _ in seeds:
+                    if start + size > done:
+                        n_seeds += 1
+                        a, b, fa, fb = one_by_one(d, d_shingles, f, f_shingles, start, at - f_from, size, 5, 75)
+                        if b - a >= passage_dedup.LEAST:
+                            done = b
+                            want |= {(doc_id, a, b, 7000 + f_from, 2), (7000 + f_from, fa + f_from, fb + f_from, 7000 + f_from, 2)}
+        kind = pa.struct([("first", pa.int64()), ("f_from", pa.int64()), ("seeds", pa.list_(pa.int64())), ("words", pa.binary()), ("n_documents", pa.int64())])
+        batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(30), pa.int64()), "text": pa.array(texts, pa.binary()), "chains": pa.array(chains, pa.list_(kind))})
+        calls.clear()
+        got = {tuple(r.values()) for out in passage_dedup._aligned(5, 75)([batch]) for r in out.to_pylist()}
+        assert got == want and n_seeds > 30
+        if not edits:
+            assert len(got) > 30 and not calls
+
+
+def test_passages_without_a_sort_of_all_paragraphs(spark, monkeypatch):
+    plans, write = {}, common.materialize
+
+    def planned(df, label="t"):
+        plans.setdefault(label, df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(passage_dedup, "materialize", planned)
+    docs = spark.createDataFrame([(k, prose(k % 3, 60) + " " + prose(100 + k, 30)) for k in range(9)], "doc_id long, text string")
+    assert passage_dedup.repeated_passages(docs).where("removed").count() == 6
+    assert "ShuffledHashJoin" in plans["hits"] and "SortMergeJoin" not in plans["hits"] and "SortAggregate" not in plans["digests"]
+
+
 def test_mixing(docs):
     rows = mixing.decide(docs).collect()
     assert len(rows) == len(TEXTS) + 2 and all(0 <= r.probability <= 1 for r in rows)
